@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postlake.llm.common import table
+from postlake.llm.decontaminate import contaminated
 from postlake.llm.quality import scored, train
 from postlake.llm.simhash_dups import near_duplicates
 
@@ -20,7 +21,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, train(docs, table(spark, sf_dir, "labels"))).where("kept").select("doc_id", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_decontamination": op8_decontamination,
     "op3_quality": op3_quality,
     "op10_simhash_dups": op10_simhash_dups,
 }
