@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postlake.llm.common import table
 from postlake.llm.decontaminate import contaminated
+from postlake.llm.passages import repeated_passages
 from postlake.llm.quality import scored, train
 from postlake.llm.simhash_dups import near_duplicates
 
@@ -25,7 +26,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_repeated_passages": op9_repeated_passages,
     "op8_decontamination": op8_decontamination,
     "op3_quality": op3_quality,
     "op10_simhash_dups": op10_simhash_dups,
