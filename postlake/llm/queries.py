@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postlake.llm import mixing
 from postlake.llm.common import table
 from postlake.llm.decontaminate import contaminated
 from postlake.llm.passages import repeated_passages
@@ -30,11 +31,19 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.target_weights(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mixing": op5_mixing,
     "op9_repeated_passages": op9_repeated_passages,
     "op8_decontamination": op8_decontamination,
     "op3_quality": op3_quality,
     "op10_simhash_dups": op10_simhash_dups,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.oracle(),
+}
