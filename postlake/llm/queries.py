@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import mixing
+from postlake.llm import mixing, warc
 from postlake.llm.common import table
 from postlake.llm.decontaminate import contaminated
 from postlake.llm.passages import repeated_passages
@@ -36,7 +36,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, mixing.target_weights(docs))
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archive": op1_warc_archive,
     "op5_mixing": op5_mixing,
     "op9_repeated_passages": op9_repeated_passages,
     "op8_decontamination": op8_decontamination,
@@ -45,5 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_archive": warc.ORACLE,
     "op5_mixing": mixing.oracle(),
 }
