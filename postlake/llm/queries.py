@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import mixing, warc
+from postlake.llm import embedding_pairs, mixing, warc
 from postlake.llm.common import table
 from postlake.llm.decontaminate import contaminated
 from postlake.llm.passages import repeated_passages
@@ -40,7 +40,12 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_pairs.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_embedding_pairs": op7_embedding_pairs,
     "op1_warc_archive": op1_warc_archive,
     "op5_mixing": op5_mixing,
     "op9_repeated_passages": op9_repeated_passages,
@@ -52,4 +57,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archive": warc.ORACLE,
     "op5_mixing": mixing.oracle(),
+    "op7_embedding_pairs": embedding_pairs.ORACLE,
 }
