@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import embedding_pairs, mixing, warc
+from postlake.llm import ctw, embedding_pairs, mixing, warc
 from postlake.llm.common import table
 from postlake.llm.decontaminate import contaminated
 from postlake.llm.passages import repeated_passages
@@ -44,7 +44,12 @@ def op7_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_pairs.near_pairs(table(spark, sf_dir, "embeddings"))
 
 
+def op2_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_code_length": op2_code_length,
     "op7_embedding_pairs": op7_embedding_pairs,
     "op1_warc_archive": op1_warc_archive,
     "op5_mixing": op5_mixing,
