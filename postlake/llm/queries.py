@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import ctw, embedding_pairs, mixing, warc
+from postlake.llm import ctw, embedding_pairs, line_dedup, mixing, warc
 from postlake.llm.common import table
 from postlake.llm.decontaminate import contaminated
 from postlake.llm.passages import repeated_passages
@@ -48,7 +48,12 @@ def op2_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scored(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
     "op2_code_length": op2_code_length,
     "op7_embedding_pairs": op7_embedding_pairs,
     "op1_warc_archive": op1_warc_archive,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archive": warc.ORACLE,
+    "op4_line_dedup": line_dedup.oracle(),
     "op5_mixing": mixing.oracle(),
     "op7_embedding_pairs": embedding_pairs.ORACLE,
 }
