@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import ctw, embedding_pairs, line_dedup, mixing, warc
+from postlake.llm import ctw, embedding_pairs, line_dedup, mixing, secrets, warc
 from postlake.llm.common import table
 from postlake.llm.decontaminate import contaminated
 from postlake.llm.passages import repeated_passages
@@ -52,7 +52,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"), path="source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_secrets": op6_secrets,
     "op4_line_dedup": op4_line_dedup,
     "op2_code_length": op2_code_length,
     "op7_embedding_pairs": op7_embedding_pairs,

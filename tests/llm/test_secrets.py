@@ -1,0 +1,91 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from postlake.llm import secrets as sc
+from postlake.llm import textvec as tv
+from postlake.llm.forest import grow
+
+SCHEMA = "doc_id bigint, text string, start string, source string"
+WORDS = np.zeros(1 << 20, bool)
+
+
+def scan(scanner, texts):
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+    return scanner.scan(np.frombuffer(b"".join(raw), np.uint8), offs, [""] * len(raw))
+
+
+def brute(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/=_.~-]+", text):
+        if len(m[0]) < 8:
+            continue
+        inner = m[0].strip(".-=")
+        s = m.start() + len(m[0]) - len(m[0].lstrip(".-="))
+        before = text[:s][-6:].rstrip(" \t\"'`")[-1:]
+        if (len(inner) >= 12 and re.search(r"[0-9]", inner)) or (len(inner) >= 8 and before in ("=", ":")):
+            out.append((s, s + len(inner)))
+    return out
+
+
+def test_candidates_against_regex():
+    r = random.Random(0)
+    texts = ["".join(r.choice("ab1Z9=-./ :\"'é\n") * r.choice([1, 1, 4]) for _ in range(200)) for _ in range(60)] + ["", "-" * 20]
+    ascii_only = [t.replace("é", "?") for t in texts]
+    raw = [t.encode() for t in ascii_only]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+    who, s, e = sc.candidates(np.frombuffer(b"".join(raw), np.uint8), offs)
+    got = [(int(w), int(a - offs[w]), int(b - offs[w])) for w, a, b in zip(who, s, e)]
+    assert got == [(k, *x) for k, t in enumerate(ascii_only) for x in brute(t)] and len(got) > 100
+
+
+def test_coverage_against_brute_force():
+    words = ["config", "user", "item", "ring"]
+    raw = " ".join(words).encode()
+    h, _, _, _ = tv.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    table = WORDS.copy()
+    table[(h >> tv.U(44)).astype(np.int64)] = True
+    text = b"userItem9x88configString1"
+    got = sc._coverage(np.frombuffer(text, np.uint8), np.array([0, 8]), np.array([8, 25]), table)
+    assert np.allclose(got, [8 / 8, (6 + 4) / 17])
+
+
+def test_held_out_accuracy():
+    found = sc.labelled_findings(4000, seed=1)
+    held = sc.labelled_findings(1500, seed=2)
+    scanner = sc.train(found, WORDS)
+    who, s, e, data, offs = sc._found(held)
+    label = np.array([f[4] for f in held])[who]
+    p = scanner.forest.probability(scanner.features(data, offs, who, s, e, [f[3] for f in held]))
+    hit = p >= sc.THRESHOLD
+    assert (hit == label).mean() > 0.95
+    assert hit[label == 1].mean() > 0.95 and hit[label == 0].mean() < 0.05
+
+
+def test_forest_learns_and_repeats():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(2000, 6))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(int)
+    a, b = grow(x[:1500], y[:1500], trees=40), grow(x[:1500], y[:1500], trees=40)
+    p = a.probability(x[1500:])
+    assert ((p > 0.5) == y[1500:]).mean() > 0.9 and (p == b.probability(x[1500:])).all()
+    assert len(a.probability(x[:0])) == 0
+
+
+def test_one_kind_of_findings_is_refused():
+    with pytest.raises(ValueError):
+        sc.train([f for f in sc.labelled_findings(50) if f[4]], WORDS)
+
+
+def test_query_and_odd_rows(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    long = "é lorem ipsum " * 30000 + f'token = "{secret}" end'
+    rows = [(1, f'Thst orti token = "{secret}" with ein.', "", "web"), (1, f'Thst orti token = "{secret}" with ein.', "", "web"), (2, None, None, None), (3, "", None, None),
+            (None, f"password = {secret}", "", None), (4, "card 2669109448945250 on", "", "web"), (5, f"commit {secret} fixed", "", None), (6, long, "", None)]
+    got = sc.secrets(spark.createDataFrame(rows, SCHEMA), path="source").collect()
+    spots = {(r.doc_id, r.start, r.end, r.secret) for r in got}
+    assert spots == {(1, 19, 59, secret), (None, 11, 51, secret), (6, 420009, 420049, secret)} and len(got) == 3
+    assert sc.secrets(spark.createDataFrame([], SCHEMA)).collect() == []
