@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postlake.plans import core
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["m1_routing_counts"](spark, sf_dir)
+    return core.QUERIES["m1_routing_counts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.ORACLE)
