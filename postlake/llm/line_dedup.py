@@ -24,12 +24,13 @@ no rows; further columns are kept by ``without_lines`` and ignored elsewhere.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm import textvec as tv
@@ -38,8 +39,7 @@ from postlake.llm.common import only, parts, settled
 NUM, DEN = 4, 5
 _COUNTER_BITS = 20
 _SLICES = 32
-_ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("line", "<u4"), ("sig", "<i8"), ("doc", "<i8"), ("p0", "<u8"), ("p1", "<u8")])
-_PLACE = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("line", "<i8")])
+_ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("sig", "<i8"), ("p0", "<u8"), ("p1", "<u8")])
 _PAIRS = 1 << 21
 
 
@@ -89,13 +89,13 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             none = pa.nulls(len(sig), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), -1, np.int32)), none, pa.array(sig), ids.slice(i, j - i).take(pa.array(doc)), pa.array(line.astype(np.int32))], names)
     if counts.any():
-        blobs = [x.astype("<i8").tobytes() for x in counts.reshape(_SLICES, -1)]
+        blobs = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in counts.reshape(_SLICES, -1)]
         nothing = [pa.nulls(_SLICES, t) for t in (pa.int64(), pa.int64(), pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array(blobs, pa.binary()), *nothing], names)
 
 
 def _add_up(group):
-    total = sum(np.frombuffer(b, "<i8") for b in group.column("counts").to_pylist())
+    total = sum(np.frombuffer(zlib.decompress(b), "<i8") for b in group.column("counts").to_pylist())
     return pa.table([group.column("slice").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
 
 
@@ -120,24 +120,21 @@ def index_prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
 def _entry_batches(batches: Iterator[pa.RecordBatch], rank, buckets: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Prefix entries; those of one batch for one bucket travel as one value."""
     for batch in batches:
-        ids = np.asarray(batch.column(0))
-        for i, j, data, offs in tv.pieces(tv.column(batch, 1), lower=True):
-            doc, line, sig, lo, g = line_sets(data, offs, rank.value)
+        for _, _, data, offs in tv.pieces(tv.column(batch, 0), lower=True):
+            _, _, sig, lo, g = line_sets(data, offs, rank.value)
             if not len(sig):
                 continue
             n = np.diff(lo)
             bit = (tv.mix(g ^ tv.U(0x2545F4914F6CDD1D)) & tv.U(127)).astype(np.uint8)
             flag = tv.U(1) << (bit & 63).astype(tv.U)
             p = [np.bitwise_xor.reduceat(np.where((bit >> 6) == k, flag, tv.U(0)), lo[:-1]) for k in (0, 1)]
-            place = ids[i:j][doc]
-            first = np.lexsort((line, place, sig))
-            first = first[np.diff(sig[first], prepend=sig[first[0]] - 1) != 0]
+            _, first = np.unique(sig, return_index=True)
             size = probe_prefix(n[first], num, den)
             at = tv.ranges(lo[first], size)
             own = np.repeat(first, size)
             e = np.empty(len(at), _ENTRY)
             e["key"] = g[at] & tv.U(0xFFFFFFFF)
-            e["n"], e["pos"], e["line"], e["sig"], e["doc"], e["p0"], e["p1"] = n[own], at - lo[own], line[own], sig[own], place[own], p[0][own], p[1][own]
+            e["n"], e["pos"], e["sig"], e["p0"], e["p1"] = n[own], at - lo[own], sig[own], p[0][own], p[1][own]
             to = (tv.mix(e["key"].astype(tv.U)) % tv.U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             e, to = e[order], to[order]
@@ -146,7 +143,7 @@ def _entry_batches(batches: Iterator[pa.RecordBatch], rank, buckets: int, num: i
 
 
 def candidates(e: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, parity distance) as indices into e, which is sorted by key, n and pos."""
+    """(one, other, parity distance) as indices into e, which is sorted by key, n and pos."""
     n, pos, key = e["n"].astype(np.int64), e["pos"].astype(np.int64), e["key"].astype(np.int64)
     # the shorter set of a pair comes first and needs to match within its index prefix
     left = np.flatnonzero(pos < index_prefix(n, num, den))
@@ -168,52 +165,27 @@ def candidates(e: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
         apart = np.bitwise_count(e["p0"][i] ^ e["p0"][j]).astype(np.int64) + np.bitwise_count(e["p1"][i] ^ e["p1"][j])
         ok = (apart <= n[i] + n[j] - 2 * need) & (e["sig"][i] != e["sig"][j])
         i, j, apart = i[ok], j[ok], apart[ok]
-        x, y = e[i], e[j]
-        later = (x["doc"] > y["doc"]) | ((x["doc"] == y["doc"]) & ((x["line"] > y["line"]) | ((x["line"] == y["line"]) & (x["sig"] > y["sig"]))))
-        out.append((np.where(later, i, j), np.where(later, j, i), apart))
+        out.append((i, j, apart))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-_CANDIDATES = "sig bigint, doc bigint, line int, apart int, x binary, rest binary"
-
-
 def _meet(group, num: int, den: int):
-    """For each set of a bucket its likeliest earlier candidate, and the others."""
+    """The candidate pairs of a bucket, each once, the smaller hash first."""
     e = np.frombuffer(b"".join(group.column(1).to_pylist()), _ENTRY)
-    order = np.lexsort((e["line"], e["doc"], e["sig"], e["pos"], e["n"], e["key"]))
-    e = e[order]
-    fresh = np.ones(len(e), bool)  # the earliest place of a set is kept
+    e = e[np.lexsort((e["sig"], e["pos"], e["n"], e["key"]))]
+    fresh = np.ones(len(e), bool)  # what several tasks emit of one set is the same
     fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["sig"][1:] != e["sig"][:-1])
     e = e[fresh]
-    y, x, apart = candidates(e, num, den)
-    order = np.lexsort((e["sig"][x], apart, e["sig"][y]))
-    y, x, apart = y[order], x[order], apart[order]
-    same = np.zeros(len(y), bool)  # a pair that met under several tokens of this bucket
-    same[1:] = (e["sig"][y][1:] == e["sig"][y][:-1]) & (e["sig"][x][1:] == e["sig"][x][:-1])
-    y, x, apart = y[~same], x[~same], apart[~same]
-    cut = np.flatnonzero(np.concatenate([[True], e["sig"][y][1:] != e["sig"][y][:-1]])[: len(y)])
-    ends = np.append(cut[1:], len(y))
-    place = np.empty(len(x), _PLACE)
-    for k in ("sig", "doc", "line"):
-        place[k] = e[k][x]
-    lead = e[y[cut]] if len(cut) else e[:0]
-    cols = [pa.array(np.ascontiguousarray(lead["sig"])), pa.array(np.ascontiguousarray(lead["doc"])), pa.array(lead["line"].astype(np.int32)), pa.array(apart[cut].astype(np.int32))]
-    cols += [pa.array([place[a : a + 1].tobytes() for a in cut], pa.binary()), pa.array([place[a + 1 : b].tobytes() for a, b in zip(cut, ends)], pa.binary())]
-    return pa.table(cols, ["sig", "doc", "line", "apart", "x", "rest"])
-
-
-def _pair_batches(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.RecordBatch]:
-    """(set y and its place, set x and its place) of the first or of the other candidates."""
-    for batch in batches:
-        blobs = batch.column("others").to_pylist() if rest else [[b] for b in batch.column("x").to_pylist()]
-        found = [np.unique(np.frombuffer(b"".join(b), _PLACE)) for b in blobs]
-        own = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-        flat = np.concatenate([*found, np.zeros(0, _PLACE)])
-        cols = [batch.column(k).take(own) for k in ("sig", "doc", "line")]
-        yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(flat[k])) for k in ("sig", "doc", "line")]], ["y", "ydoc", "yline", "x", "xdoc", "xline"])
+    i, j, apart = candidates(e, num, den)
+    a, b = np.minimum(e["sig"][i], e["sig"][j]), np.maximum(e["sig"][i], e["sig"][j])
+    order = np.lexsort((b, a))
+    a, b, apart = a[order], b[order], apart[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.table([pa.array(a[keep]), pa.array(b[keep]), pa.array(apart[keep].astype(np.int32))], ["a", "b", "apart"])
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,17 +233,19 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     # 2**20 counters, of a size that doesn't depend on the input
     rank = spark.sparkContext.broadcast(ranks([(r.slice, bytes(r.counts)) for r in counts.collect()]))
     buckets = 4 * parts(spark)
-    entries = src.mapInArrow(partial(_entry_batches, rank=rank, buckets=buckets, num=num, den=den), "bucket bigint, packed binary")
-    met = entries.groupBy("bucket").applyInArrow(lambda group: _meet(group, num, den), _CANDIDATES)
-    by = F.struct("apart", "x")
-    met = settled(met.groupBy("sig").agg(F.min("doc").alias("doc"), F.min("line").alias("line"), F.min(by)["x"].alias("x"), F.collect_list("rest").alias("others"), F.collect_list("x").alias("leads")).withColumn("others", F.concat("others", "leads")).drop("leads"))
-    likely = met.mapInArrow(partial(_pair_batches, rest=False), "y bigint, ydoc bigint, yline int, x bigint, xdoc bigint, xline bigint")
-    sure = settled(_verified(likely, src, num, den))
-    open_ = met.join(sure, met["sig"] == sure["y"], "left_anti")
-    more = open_.mapInArrow(partial(_pair_batches, rest=True), "y bigint, ydoc bigint, yline int, x bigint, xdoc bigint, xline bigint")
-    matched = sure.unionByName(_verified(settled(more), src, num, den)).select(F.col("y").alias("sig"), F.lit(True).alias("matched"))
+    entries = src.select("text").mapInArrow(partial(_entry_batches, rank=rank, buckets=buckets, num=num, den=den), "bucket bigint, packed binary")
+    pairs = entries.groupBy("bucket").applyInArrow(lambda group: _meet(group, num, den), "a bigint, b bigint, apart int").dropDuplicates(["a", "b"])
     spots = places.where("slice < 0").select("sig", F.struct("doc", "line").alias("spot"))
     firsts = spots.groupBy("sig").agg(F.min("spot").alias("first"))
+    one = firsts.select(F.col("sig").alias("a"), F.struct("first", F.col("sig").alias("sig")).alias("pa"))
+    two = firsts.select(F.col("sig").alias("b"), F.struct("first", F.col("sig").alias("sig")).alias("pb"))
+    # the later set of a pair is y, and its candidates are ordered by likelihood
+    met = pairs.join(one, "a").join(two, "b").select(F.greatest("pa", "pb").alias("y"), F.least("pa", "pb").alias("x"), "apart")
+    met = met.select(F.col("y.sig").alias("y"), F.col("y.first.doc").alias("ydoc"), F.col("x.sig").alias("x"), F.col("x.first.doc").alias("xdoc"), "apart")
+    met = settled(met.withColumn("turn", F.row_number().over(Window.partitionBy("y").orderBy("apart", "x"))))
+    sure = settled(_verified(met.where("turn = 1"), src, num, den))
+    more = settled(met.where("turn > 1").join(sure, "y", "left_anti"))
+    matched = sure.unionByName(_verified(more, src, num, den)).select(F.col("y").alias("sig"), F.lit(True).alias("matched"))
     all_ = spots.join(firsts, "sig").join(matched, "sig", "left").where("matched or spot <> first")
     return all_.select(F.col("spot.doc").alias("doc_id"), F.col("spot.line").alias("line")).distinct()
 
