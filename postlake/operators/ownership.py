@@ -89,3 +89,10 @@ def paired(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame
     b = right.select(F.col(key), F.col(order).alias("right_row")).withColumn("k", number("right_row"))
     status = F.when(F.col("left_row").isNull(), "only_right").when(F.col("right_row").isNull(), "only_left").otherwise("paired")
     return a.join(b, [key, "k"], "full").withColumn("pair_status", status)
+
+
+def rising_sets(rows: DataFrame, key: str, ordinal: str, order: list[str], valid: str) -> DataFrame:
+    """(key, valid): whether all of a key's rows are valid and their ordinals strictly rise."""
+    step = F.col(ordinal) - F.lag(ordinal).over(Window.partitionBy(key).orderBy(*order))
+    g = rows.select(key, valid, step.alias("step")).groupBy(key)
+    return g.agg((F.bool_and(valid) & F.coalesce(F.min("step") > 0, F.lit(True))).alias("valid"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions import dates, identity as ids
 from postlake.functions import text as tx
-from postlake.operators import batch, content, envelopes, graph, ownership, routing, typed
+from postlake.operators import batch, content, envelopes, families, graph, ownership, routing, sinks, typed
 from postlake.plans import driver as dr
 from postlake.plans import twins as tw
 
@@ -294,3 +294,124 @@ def resume(spark, d):
 @query("F16_L05_bounded", "SELECT event_id, user_id, CAST(k AS INTEGER) AS k, CASE WHEN n > 3 AND k = 3 THEN n - 3 END AS omitted FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 3")
 def bounded(spark, d):
     return batch.bounded(dr.table(spark, d, "events").select("event_id", "user_id"), "user_id", ["event_id"], 3)
+
+
+_TALK = r"""talk AS (SELECT '/box/' || (conv_id % 7) AS folder_path, 'c' || lpad(CAST(conv_id AS VARCHAR), 7, '0') || lpad(CAST(turn AS VARCHAR), 4, '0') AS message_key, CASE WHEN turn % 3 <> 0 THEN role || '@mail.example' END AS sender, CASE WHEN turn % 2 = 0 THEN 'Thu, 01 Jan 1970 00:00:00 +0000' END AS date,
+ CASE WHEN turn % 4 = 0 THEN 'From: a' || chr(10) || 'From here' || chr(13) || chr(10) || '>From there ' || text ELSE text END AS content FROM conversations)"""
+
+
+def _talk(spark, d):
+    c = dr.table(spark, d, "conversations")
+    t = F.col("turn")
+    key = F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 7, "0"), F.lpad(t.cast("string"), 4, "0"))
+    return c.select(
+        F.concat(F.lit("/box/"), (F.col("conv_id") % 7).cast("string")).alias("folder_path"), key.alias("message_key"), F.when(t % 3 != 0, F.concat("role", F.lit("@mail.example"))).alias("sender"),
+        F.when(t % 2 == 0, "Thu, 01 Jan 1970 00:00:00 +0000").alias("date"), F.when(t % 4 == 0, F.concat(F.lit("From: a\nFrom here\r\n>From there "), "text")).otherwise(F.col("text")).alias("content"),
+    )
+
+
+@query("K04_mbox_folders", tw.with_(_TALK) + r""", q AS (SELECT *, regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '(?m)^(>*From )', '>\1', 'g') AS m FROM talk)
+SELECT folder_path, count(*) AS messages, string_agg('From ' || coalesce(sender, 'MAILER-DAEMON') || ' ' || coalesce(date, 'Thu Jan 1 00:00:00 1970') || chr(10) || m || CASE WHEN m LIKE '%' || chr(10) THEN '' ELSE chr(10) END || chr(10), '' ORDER BY message_key) AS mbox FROM q GROUP BY folder_path""")
+def mbox(spark, d):
+    return sinks.mbox_folders(_talk(spark, d))
+
+
+@query("K08_F13_plain_eml", tw.with_(_TALK) + r""", e AS (SELECT message_key, sender, date, replace(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), chr(13) || chr(10)) AS body FROM talk), n AS (SELECT chr(13) || chr(10) AS n)
+SELECT message_key, CASE WHEN sender IS NOT NULL AND date IS NOT NULL THEN 'From: Talk <' || sender || '>' || n || 'To: all@mail.example' || n || 'Subject: about ' || message_key || n || 'Date: ' || date || n || 'MIME-Version: 1.0' || n || 'Content-Type: text/plain; charset=utf-8' || n || 'Content-Transfer-Encoding: 8bit' || n || n || body || CASE WHEN body LIKE '%' || n THEN '' ELSE n END END AS eml FROM e, n""")
+def plain_eml(spark, d):
+    t = _talk(spark, d)
+    return sinks.plain_eml(t.select("message_key", F.concat(F.lit("about "), "message_key").alias("subject"), F.lit("Talk").alias("sender_name"), F.col("sender").alias("sender_address"), F.lit("all@mail.example").alias("to_list"), F.lit(None).cast("string").alias("cc_list"), "date", F.lit(None).cast("string").alias("message_id"), F.col("content").alias("text")))
+
+
+@query("K05_W02_numbered", tw.with_(_TALK) + "SELECT folder_path, message_key, row_number() OVER (PARTITION BY folder_path ORDER BY message_key) || '.eml' AS file_name FROM talk")
+def numbered(spark, d):
+    return sinks.numbered(_talk(spark, d), suffix=".eml").select("folder_path", "message_key", "file_name")
+
+
+@query("K10_sidecars", tw.with_(_TALK) + "SELECT folder_path, count(*) || ' ' || CASE WHEN folder_path < '/box/5' THEN 11 ELSE count(*) END || chr(10) AS size_line FROM talk GROUP BY folder_path")
+def sidecars(spark, d):
+    t = _talk(spark, d)
+    return sinks.sidecars(t, t.where("folder_path < '/box/5'").select("folder_path", F.lit(11).alias("item_count")).distinct())
+
+
+@query("W03_X16_folder_directories", tw.with_(tw.FOLDERS) + ", s AS (SELECT folder_key, folder_path, trim(folder_path, '/') AS safe FROM folders), n AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY folder_path, folder_key) AS k FROM s) SELECT folder_key, safe || CASE WHEN k > 1 THEN '_' || lpad(CAST(k AS VARCHAR), 4, '0') ELSE '' END AS directory FROM n")
+def directories(spark, d):
+    return sinks.folder_directories(dr.folders(spark, d)).select("folder_key", "directory")
+
+
+@query("P01_message_projection", tw.with_(tw.NBT) + f"""SELECT {tw.sid('msg', "'drv'", tw.node('node_id'))} AS message_key, CASE WHEN ordinal % 5 <> 0 THEN 'IPM.Note' || ordinal % 3 END AS message_class, CASE WHEN ordinal % 5 <> 0 AND ordinal % 2 = 0 THEN 'Subject ' || ordinal WHEN ordinal % 5 <> 0 AND ordinal % 3 = 0 THEN 'Old ' || ordinal END AS subject,
+ CASE WHEN ordinal % 5 <> 0 THEN 'message_metadata' ELSE 'message_candidate' END AS item_type FROM nbt WHERE node_id & 31 IN (4, 8)""")
+def message_projection(spark, d):
+    n = dr.nbt(spark, d)
+    o = F.col("ordinal")
+    p = lambda tag, text, cond: F.when(cond, F.struct(F.lit(tag).cast("bigint").alias("tag"), text.alias("text")))
+    parts = F.array_compact(F.array(p(0x001A001E, F.concat(F.lit("IPM.Note"), (o % 3).cast("string")), F.lit(True)), p(0x0037001F, F.concat(F.lit("Subject "), o.cast("string")), o % 2 == 0), p(0x0037001E, F.concat(F.lit("Old "), o.cast("string")), o % 3 == 0)))
+    props = n.where("ordinal % 5 <> 0").select("node_id", F.inline(parts))
+    return families.message_rows(n, props, dr.ARCHIVE).select("message_key", "message_class", "subject", "item_type")
+
+
+@query("P04_P05_folder_projection", tw.with_(tw.NBT) + f""", f AS (SELECT {tw.node('node_id')} AS id, ordinal, CASE WHEN ordinal % 4 <> 0 THEN 'Box/' || ordinal ELSE {tw.node('node_id')} END AS name FROM nbt WHERE node_id & 31 IN (2, 3))
+SELECT {tw.sid('folder', "'drv'", 'id')} AS folder_key, {tw.sid('folder', "'drv'", "'root'")} AS parent_folder_key, name, '/' || replace(name, '/', '_') AS folder_path FROM f UNION ALL SELECT {tw.sid('folder', "'drv'", "'root'")}, NULL, 'root', '/'""")
+def folder_projection(spark, d):
+    n = dr.nbt(spark, d)
+    names = n.select("node_id", F.when(F.col("ordinal") % 4 == 0, "  ").otherwise(F.concat(F.lit(" Box/"), F.col("ordinal").cast("string"))).alias("display_name"))
+    return families.folder_rows(n, names, dr.ARCHIVE).select("folder_key", "parent_folder_key", "name", "folder_path")
+
+
+@query("P16_J17_table_recipients", f"""WITH r AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS roles, list('P' || l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS names FROM lineitem GROUP BY l_orderkey HAVING count(*) % 4 <> 0),
+x AS (SELECT 'm' || l_orderkey AS message_key, unnest(roles) AS code, unnest(names) AS display_name, CAST(generate_subscripts(roles, 1) - 1 AS INTEGER) AS ordinal FROM r), y AS (SELECT *, CASE code WHEN 0 THEN 'originator' WHEN 1 THEN 'to' WHEN 2 THEN 'cc' WHEN 3 THEN 'bcc' ELSE 'unknown' END AS recipient_type FROM x)
+SELECT message_key, {tw.sid('rcpt', 'message_key', 'recipient_type', 'ordinal')} AS recipient_key, recipient_type, display_name, ordinal, 'raw_address_preserved' AS status FROM y""")
+def table_recipients(spark, d):
+    li = dr.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    none, some = F.transform("x", lambda r: F.lit(None).cast("string")), F.transform("x", lambda r: F.lit("raw"))
+    t = li.select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("message_key"), F.transform("x", lambda r: r["l_linenumber"]).alias("roles"), F.transform("x", lambda r: F.concat(F.lit("P"), r["l_partkey"].cast("string"))).alias("names"), none.alias("smtp"), F.when(F.size("x") % 4 != 0, some).otherwise(F.array().cast("array<string>")).alias("raw"))
+    return families.recipient_rows(t).select("message_key", "recipient_key", "recipient_type", "display_name", "ordinal", "status")
+
+
+@query("P27_X37_property_evidence", f"SELECT {tw.sid('evidence', chr(39) + 'drv' + chr(39), tw.node('page_id'), '26')} AS evidence_key, page_id AS node_id, CAST(octet_length(encode(html)) AS BIGINT) AS raw_size, sha256(html) AS raw_sha256, lower(substr(hex(encode(html)), 1, 131072)) AS raw_hex FROM pages")
+def evidence(spark, d):
+    p = dr.table(spark, d, "pages").select(F.col("page_id").alias("node_id"), F.lit(26).alias("tag"), F.col("html").cast("binary").alias("raw"), F.lit("x").alias("status"))
+    return families.property_evidence(p, dr.ARCHIVE).select("evidence_key", "node_id", "raw_size", "raw_sha256", "raw_hex")
+
+
+@query("P28_P29_U01_manifest", tw.with_(tw.TEXTS, tw.PAYLOADS, tw.BODIES) + """SELECT archive_path AS artifact, 'payload' AS kind, CAST(1 AS BIGINT) AS records, size_bytes, sha256 FROM bodies UNION ALL SELECT 'metadata/bodies.jsonl', 'family', count(*), NULL, NULL FROM bodies UNION ALL SELECT 'metadata/errors.jsonl', 'family', CAST(0 AS BIGINT), NULL, NULL
+ UNION ALL SELECT 'metadata/evidence.jsonl', 'family', (SELECT count(*) FROM bodies) + (SELECT count(*) FROM part), NULL, NULL""")
+def manifest(spark, d):
+    b = content.body_records(content.body_payloads(dr.texts(spark, d)))
+    a = content.attachment_records(dr.attachments(spark, d))
+    ev = families.derived_evidence({"body": (b, "body_key"), "attachment": (a, "attachment_key")})
+    return families.manifest({"bodies": b, "errors": b.where("false"), "contacts": b.where("false"), "evidence": ev}, b, always=("bodies", "errors"))
+
+
+@query("R01_R04_R05_embedded_edges", tw.with_(
+    "a AS (SELECT event_id, 'm' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS message_key, 'a' || (CASE WHEN event_id % 97 = 0 THEN 0 ELSE event_id END) AS attachment_key, CASE WHEN event_id % 10 <> 3 THEN 'm' || lpad(CAST(event_id // 2 AS VARCHAR), 8, '0') END AS child FROM events WHERE event_id % 2 = 1 OR event_id % 97 = 0)",
+    "m AS (SELECT 'm' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS k, CASE WHEN event_id % 13 = 0 THEN 'other' ELSE 'message_metadata' END AS t FROM events WHERE event_id % 11 <> 5)",
+    "walk(node, depth) AS (SELECT k, 0 FROM m WHERE k NOT IN (SELECT child FROM a WHERE child IS NOT NULL) UNION SELECT child, depth + 1 FROM walk JOIN a ON node = message_key WHERE depth < 9 AND child IS NOT NULL)", recursive=True)
+    + f""", d AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), j AS (SELECT a.*, coalesce(d.depth, 0) AS depth, m.k IS NOT NULL AS ex, coalesce(m.t = 'message_metadata', FALSE) AS mail, count(*) OVER (PARTITION BY attachment_key) > 1 AS dup, CASE WHEN m.k IS NULL AND child IS NULL THEN 0 ELSE CASE WHEN event_id // 2 % 3 = 0 AND child IS NOT NULL THEN 70000000 ELSE 0 END END AS bytes, (SELECT count(*) FROM m) AS nodes, child = message_key AS selfy FROM a LEFT JOIN m ON child = k LEFT JOIN d ON child = node),
+s AS (SELECT *, CASE WHEN nodes > 4096 THEN 'node_budget_exceeded' WHEN bytes > 67108864 THEN 'byte_budget_exceeded' WHEN depth > 8 THEN 'depth_budget_exceeded' ELSE 'within_limits' END AS budget_status, CASE WHEN child IS NULL THEN 'missing_child_reference' WHEN NOT ex THEN 'child_message_unavailable' WHEN NOT mail THEN 'child_non_email_item' WHEN dup THEN 'duplicate_attachment_owner' ELSE 'child_message_resolved' END AS resolution_status, CASE WHEN selfy THEN 'cycle_detected' ELSE 'acyclic' END AS cycle_status FROM j)
+SELECT {tw.sid('edge', 'message_key', 'attachment_key')} AS edge_key, child AS child_message_key, depth, CAST(bytes AS BIGINT) AS raw_bytes_observed, budget_status, cycle_status, resolution_status,
+ CASE WHEN ex AND cycle_status = 'acyclic' AND budget_status = 'within_limits' AND resolution_status = 'child_message_resolved' THEN 'embedded_child_resolved' WHEN cycle_status = 'cycle_detected' THEN 'embedded_child_cycle_rejected' WHEN budget_status <> 'within_limits' THEN 'embedded_child_budget_rejected' ELSE 'embedded_child_unavailable' END AS status FROM s""")
+def embedded_edges(spark, d):
+    e = dr.table(spark, d, "events").select("event_id")
+    k = F.col("event_id")
+    name = lambda n: F.concat(F.lit("m"), F.lpad(n.cast("string"), 8, "0"))
+    half = F.call_function("div", k, F.lit(2))
+    a = e.where("event_id % 2 = 1 or event_id % 97 = 0").select(name(k).alias("message_key"), F.concat(F.lit("a"), F.when(k % 97 == 0, 0).otherwise(k).cast("string")).alias("attachment_key"), k.alias("ordinal"), F.lit(5).alias("attachment_method"), F.when(k % 10 != 3, name(half)).alias("embedded_key"))
+    m = e.where("event_id % 11 <> 5").select(name(k).alias("message_key"), F.when(k % 13 == 0, "other").otherwise("message_metadata").alias("item_type"))
+    sizes = e.select(name(k).alias("message_key"), F.when(k % 3 == 0, 70000000).otherwise(0).cast("bigint").alias("bytes"))
+    cyc = graph.on_cycles(a.select(F.col("message_key").alias("parent"), F.col("embedded_key").alias("child")))
+    return graph.embedded_edges(m, a, sizes, cyc).select("edge_key", "child_message_key", "depth", "raw_bytes_observed", "budget_status", "cycle_status", "resolution_status", "status")
+
+
+@query("W11_shards", tw.with_("f AS (SELECT source AS g, 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)",
+    "fold(g, k, path, size, used, shard) AS (SELECT g, k, path, size, size, 0 FROM f WHERE k = 1 UNION ALL SELECT f.g, f.k, f.path, f.size, CASE WHEN used > 0 AND used + f.size > 20000 THEN f.size ELSE used + f.size END, shard + CASE WHEN used > 0 AND used + f.size > 20000 THEN 1 ELSE 0 END FROM fold JOIN f ON f.g = fold.g AND f.k = fold.k + 1)", recursive=True)
+    + "SELECT g AS source, path, size, CAST(shard AS INTEGER) AS shard FROM fold")
+def shards(spark, d):
+    f = dr.table(spark, d, "documents").select("source", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("n_chars").alias("size"))
+    return sinks.shards(f, 20000, "source")
+
+
+@query("F14_attachment_sets", "SELECT l_orderkey, bool_and(l_quantity > 2) AND coalesce(min(step) > 0, TRUE) AS valid FROM (SELECT l_orderkey, l_quantity, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS step FROM lineitem) GROUP BY l_orderkey")
+def attachment_sets(spark, d):
+    li = dr.table(spark, d, "lineitem").withColumn("ok", F.col("l_quantity") > 2)
+    return ownership.rising_sets(li, "l_orderkey", "l_linenumber", ["l_linenumber", "l_partkey", "l_suppkey"], "ok")
