@@ -211,12 +211,15 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], num: int, den: int) -> It
         yield pa.RecordBatch.from_arrays([batch.column("y").filter(pa.array(ok, pa.bool_()))], ["y"])
 
 
-def _verified(pairs: DataFrame, src: DataFrame, num: int, den: int) -> DataFrame:
+def _token_sets(pairs: DataFrame, src: DataFrame) -> DataFrame:
+    """(sig, tokens) of every set in a pair; the texts are shuffled once for all of them."""
+    ends = F.array(F.struct(F.col("y").alias("sig"), F.col("ydoc").alias("d")), F.struct(F.col("x").alias("sig"), F.col("xdoc").alias("d")))
+    need = pairs.select(F.explode(ends).alias("w")).groupBy("w.d").agg(F.collect_set("w.sig").alias("wanted"))
+    return src.join(need, src["doc_id"] == need["d"]).select("text", "wanted").mapInArrow(_token_batches, "sig bigint, tokens binary").dropDuplicates(["sig"])
+
+
+def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
     """The sets y of the pairs that match."""
-    need = pairs.select(F.explode(F.array(F.struct(F.col("y").alias("sig"), F.col("ydoc").alias("d")), F.struct(F.col("x").alias("sig"), F.col("xdoc").alias("d")))).alias("w"))
-    need = need.groupBy("w.d").agg(F.collect_set("w.sig").alias("wanted"))
-    tokens = src.join(need, src["doc_id"] == need["d"]).select("text", "wanted").mapInArrow(_token_batches, "sig bigint, tokens binary").dropDuplicates(["sig"])
-    tokens = settled(tokens)
     y, x = tokens.select(F.col("sig").alias("sy"), F.col("tokens").alias("ty")), tokens.select(F.col("sig").alias("sx"), F.col("tokens").alias("tx"))
     both = pairs.select("y", "x").join(y, F.col("y") == F.col("sy")).join(x, F.col("x") == F.col("sx")).select("y", "ty", "tx")
     return both.mapInArrow(partial(_verify_batches, num=num, den=den), "y bigint").distinct()
@@ -234,7 +237,9 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     rank = spark.sparkContext.broadcast(ranks([(r.slice, bytes(r.counts)) for r in counts.collect()]))
     buckets = 4 * parts(spark)
     entries = src.select("text").mapInArrow(partial(_entry_batches, rank=rank, buckets=buckets, num=num, den=den), "bucket bigint, packed binary")
-    pairs = entries.groupBy("bucket").applyInArrow(lambda group: _meet(group, num, den), "a bigint, b bigint, apart int").dropDuplicates(["a", "b"])
+    pairs = entries.groupBy("bucket").applyInArrow(lambda group: _meet(group, num, den), "a bigint, b bigint, apart int")
+    # one shuffle by a serves the distinct pairs and the join
+    pairs = pairs.repartition("a").dropDuplicates(["a", "b"])
     spots = places.where("slice < 0").select("sig", F.struct("doc", "line").alias("spot"))
     firsts = spots.groupBy("sig").agg(F.min("spot").alias("first"))
     one = firsts.select(F.col("sig").alias("a"), F.struct("first", F.col("sig").alias("sig")).alias("pa"))
@@ -243,9 +248,10 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     met = pairs.join(one, "a").join(two, "b").select(F.greatest("pa", "pb").alias("y"), F.least("pa", "pb").alias("x"), "apart")
     met = met.select(F.col("y.sig").alias("y"), F.col("y.first.doc").alias("ydoc"), F.col("x.sig").alias("x"), F.col("x.first.doc").alias("xdoc"), "apart")
     met = settled(met.withColumn("turn", F.row_number().over(Window.partitionBy("y").orderBy("apart", "x"))))
-    sure = settled(_verified(met.where("turn = 1"), src, num, den))
+    tokens = settled(_token_sets(met, src))
+    sure = settled(_verified(met.where("turn = 1"), tokens, num, den))
     more = settled(met.where("turn > 1").join(sure, "y", "left_anti"))
-    matched = sure.unionByName(_verified(more, src, num, den)).select(F.col("y").alias("sig"), F.lit(True).alias("matched"))
+    matched = sure.unionByName(_verified(more, tokens, num, den)).select(F.col("y").alias("sig"), F.lit(True).alias("matched"))
     all_ = spots.join(firsts, "sig").join(matched, "sig", "left").where("matched or spot <> first")
     return all_.select(F.col("spot.doc").alias("doc_id"), F.col("spot.line").alias("line")).distinct()
 
