@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions import dates, identity as ids
 from postlake.functions import text as tx
-from postlake.operators import batch, content, envelopes, families, graph, ownership, routing, sinks, typed
+from postlake.operators import batch, content, envelopes, families, graph, ownership, reports, routing, sinks, typed
 from postlake.plans import driver as dr
 from postlake.plans import twins as tw
 
@@ -415,3 +415,71 @@ def shards(spark, d):
 def attachment_sets(spark, d):
     li = dr.table(spark, d, "lineitem").withColumn("ok", F.col("l_quantity") > 2)
     return ownership.rising_sets(li, "l_orderkey", "l_linenumber", ["l_linenumber", "l_partkey", "l_suppkey"], "ok")
+
+
+_STATUS = "'x=1; plausible:' || (event_id % 3) || ', suspicious:' || (event_id % 2) || '; heap_bth=' || (user_id % 2)"
+
+
+@query("A10_A11_A12_A17_blockers", f"""WITH s AS (SELECT user_id, sum(event_id % 3) AS plausible, sum(event_id % 2) AS suspicious, sum(user_id % 2) AS heap_bth FROM events GROUP BY user_id) SELECT user_id, CASE WHEN suspicious > plausible THEN 'heap_bth_layout_traversal' WHEN plausible > 0 THEN 'selected_mapi_dictionary_expansion' ELSE 'property_context_signal_absent' END AS tag_shape,
+ CASE WHEN heap_bth > 0 THEN 'heap_bth_index_or_external_hnid_resolution' ELSE 'property_context_traversal_signal_absent' END AS traversal, (SELECT CAST(sum(plausible) AS BIGINT) FROM s) AS total FROM s""")
+def run_blockers(spark, d):
+    e = dr.table(spark, d, "events")
+    text = lambda x: x.cast("string")
+    k, u = F.col("event_id"), F.col("user_id")
+    e = e.select("user_id", F.concat(F.lit("x=1; plausible:"), text(k % 3), F.lit(", suspicious:"), text(k % 2), F.lit("; heap_bth="), text(u % 2)).alias("status"))
+    sums = [F.sum(tx.status_counter(F.col("status"), c)).alias(c) for c in ("plausible", "suspicious", "heap_bth")]
+    zero = {c: F.lit(0) for c in ("legacy_flat", "unknown_traversal")}
+    by = e.groupBy("user_id").agg(*sums).withColumns(zero)
+    rungs = reports.blockers()
+    total = reports.status_sums(e, ["plausible"]).withColumnRenamed("plausible", "total")
+    return by.select("user_id", rungs["tag_shape"].alias("tag_shape"), rungs["traversal"].alias("traversal")).crossJoin(F.broadcast(total))
+
+
+_COLUMNS = """c AS (SELECT l_orderkey AS t, (CASE l_linenumber % 4 WHEN 0 THEN 872480771 WHEN 1 THEN 202702851 WHEN 2 THEN 972947487 ELSE 1743912963 END) AS tag, CAST(l_linenumber AS INTEGER) AS bit, list('v' || (l_partkey % 3)) AS vals, bool_and(l_quantity > 1) AS every FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+def _columns(spark, d):
+    li = dr.table(spark, d, "lineitem")
+    n = F.col("l_linenumber") % 4
+    tag = F.when(n == 0, 872480771).when(n == 1, 202702851).when(n == 2, 972947487).otherwise(1743912963).cast("bigint")
+    g = li.groupBy(F.col("l_orderkey").alias("table"), tag.alias("tag"), F.col("l_linenumber").alias("bit"))
+    return g.agg(F.collect_list(F.concat(F.lit("v"), (F.col("l_partkey") % 3).cast("string"))).alias("values"), F.collect_list(F.col("l_quantity") > 1).alias("mask")).withColumn("size", F.lit(4))
+
+
+@query("W09_W10_A14_F10_F11_columns", tw.with_(_COLUMNS) + """, f AS (SELECT *, len(list_distinct(vals)) AS dv, row_number() OVER (PARTITION BY t ORDER BY len(list_distinct(vals)) DESC, bit) AS k FROM c WHERE every AND tag & 65535 = 3), i AS (SELECT t, arg_min(tag, bit) AS identity_tag FROM c WHERE every AND tag = 972947487 GROUP BY t),
+ r AS (SELECT t, count(*) AS readable FROM c WHERE tag <> 1743912963 GROUP BY t)
+ SELECT r.t AS "table", CAST(f.tag AS BIGINT) AS fixed_tag, f.bit AS fixed_bit, CAST(f.dv AS INTEGER) AS distinct_values, CAST(identity_tag AS BIGINT) AS identity_tag, readable FROM r LEFT JOIN f ON r.t = f.t AND f.k = 1 LEFT JOIN i ON r.t = i.t""")
+def columns(spark, d):
+    c = _columns(spark, d)
+    fixed = reports.best_fixed_column(c).select("table", F.col("tag").alias("fixed_tag"), F.col("bit").alias("fixed_bit"), "distinct_values")
+    named = reports.best_identity_column(c).select("table", F.col("tag").alias("identity_tag"))
+    readable = reports.readable_columns(c).groupBy("table").agg(F.count("*").alias("readable"))
+    return readable.join(fixed, "table", "left").join(named, "table", "left")
+
+
+@query("K06_A13_attachment_decisions", tw.with_(tw.RAW_ATTACHMENTS, tw.ATTACHMENTS) + """, d AS (SELECT a.message_key, CASE WHEN extension IS NOT NULL AND extension NOT IN ('sta', 'eco') THEN 'filtered_attachment_extension' WHEN attachment_method = 5 THEN 'skipped_embedded_message_attachment' WHEN a.extraction_status <> 'extracted' THEN 'unavailable_attachment_payload' ELSE 'attachment_file_emitted' END AS decision FROM attachments a)
+ SELECT message_key, count(*) AS attachments, count(*) FILTER (decision = 'attachment_file_emitted') AS emitted, CASE WHEN count(*) FILTER (decision = 'attachment_file_emitted') = 0 THEN 'mail_records_unavailable' WHEN count(*) FILTER (decision <> 'attachment_file_emitted') > 0 THEN 'mail_projection_partial' ELSE 'mail_projection_available' END AS status FROM d GROUP BY message_key""")
+def decisions(spark, d):
+    raw = dr.attachments(spark, d)
+    a = content.attachment_records(raw).join(raw.select("message_key", "ordinal", "content"), ["message_key", "ordinal"])
+    x = reports.attachment_decisions(a, ["sta", "eco"])
+    done = F.count_if(F.col("decision") == "attachment_file_emitted")
+    g = x.groupBy("message_key").agg(F.count("*").alias("attachments"), done.alias("emitted"))
+    return g.withColumn("status", reports.profile_status(F.col("attachments"), F.col("emitted"), F.col("attachments") - F.col("emitted")))
+
+
+@query("J09_materialized_children", tw.with_(
+    "a AS (SELECT 'a' || event_id AS attachment_key, 'p' || event_id AS message_key, 'c' || (event_id % 700) AS child FROM events WHERE event_id % 2 = 0)",
+    "m AS (SELECT 'c' || event_id AS k FROM events WHERE event_id < 700 UNION ALL SELECT 'c' || event_id FROM events WHERE event_id % 5 = 0 AND event_id < 700)",
+    "b AS (SELECT 'c' || event_id AS k FROM events WHERE event_id % 3 <> 0 AND event_id < 700)")
+    + """, u AS (SELECT child FROM a GROUP BY child HAVING count(*) = 1), um AS (SELECT k FROM m GROUP BY k HAVING count(*) = 1) SELECT attachment_key, child AS message_key, CAST(length('mail of ' || child) AS BIGINT) AS size_bytes, sha256('mail of ' || child) AS sha256, CASE WHEN length('mail of ' || child) = 11 THEN 'size_matched' ELSE 'size_mismatch' END AS size_status FROM a WHERE child IN (SELECT child FROM u) AND child IN (SELECT k FROM um) AND child IN (SELECT k FROM b)""")
+def children(spark, d):
+    e = dr.table(spark, d, "events").select("event_id")
+    k = F.col("event_id")
+    name = lambda p, n: F.concat(F.lit(p), n.cast("string"))
+    a = e.where("event_id % 2 = 0").select(name("a", k).alias("attachment_key"), name("p", k).alias("message_key"), name("c", k % 700).alias("embedded_key"), F.lit(5).alias("attachment_method"), F.lit(11).cast("bigint").alias("declared_size_bytes"))
+    low = e.where("event_id < 700").select(k, name("c", k).alias("message_key"))
+    m = low.unionByName(low.where("event_id % 5 = 0"))
+    b = low.where("event_id % 3 <> 0").withColumn("body_type", F.lit("text"))
+    emls = low.select("message_key", F.concat(F.lit("mail of "), "message_key").alias("eml"))
+    return reports.materialized_children(a, m, b, emls).drop("eml")
