@@ -11,12 +11,13 @@ from postlake.functions.mailcode import validated_headers_udf
 from postlake.operators.typed import is_encrypted, is_report, is_schedule
 
 
-def wide_properties(properties: DataFrame, fields: dict[str, tuple[int, ...]]) -> DataFrame:
-    """P01. properties(node_id, tag, text) to a column for each field: its first tag that has a text."""
+def wide_properties(properties: DataFrame, fields: dict[str, tuple[int, ...]], by: tuple[str, ...] = ()) -> DataFrame:
+    """P01. properties(node_id, tag, text) to a column for each field: its first tag that has a text.
+    ``by`` names columns that tell apart the nodes of several files."""
     aggs = []
     for name, tags in fields.items():
         aggs.append(F.coalesce(*[F.min(F.when(F.col("tag") == t, F.col("text"))) for t in tags]).alias(name))
-    return properties.groupBy("node_id").agg(*aggs)
+    return properties.groupBy(*by, "node_id").agg(*aggs)
 
 
 MESSAGE_FIELDS = {
@@ -26,28 +27,28 @@ MESSAGE_FIELDS = {
 }
 
 
-def message_rows(nodes: DataFrame, properties: DataFrame, archive: str) -> DataFrame:
+def message_rows(nodes: DataFrame, properties: DataFrame, archive: Column | str, by: tuple[str, ...] = ()) -> DataFrame:
     """P01-P03. nodes(node_id) of messages; one whose properties couldn't be read has a candidate row."""
-    wide = wide_properties(properties, MESSAGE_FIELDS).withColumn("__seen", F.lit(True))
+    wide = wide_properties(properties, MESSAGE_FIELDS, by).withColumn("__seen", F.lit(True))
     node = ids.node_identity(F.col("node_id"))
     seen = F.col("__seen").isNotNull()
-    d = nodes.where(ids.message_kind(F.col("node_id")).isNotNull()).join(wide, "node_id", "left")
+    d = nodes.where(ids.message_kind(F.col("node_id")).isNotNull()).join(wide, [*by, "node_id"], "left")
     return d.select(
-        ids.message_key(archive, node).alias("message_key"), node.alias("message_node_id"), *MESSAGE_FIELDS, tx.normalize_subject(F.col("subject")).alias("normalized_subject"),
+        *by, ids.message_key(archive, node).alias("message_key"), node.alias("message_node_id"), *MESSAGE_FIELDS, tx.normalize_subject(F.col("subject")).alias("normalized_subject"),
         tx.threading_status(F.col("internet_message_id"), F.col("in_reply_to_id"), F.array(), F.col("conversation_index")).alias("threading_status"),
         F.when(seen, "message_metadata").otherwise("message_candidate").alias("item_type"), F.when(seen, "message_properties_extracted").otherwise("message_properties_unavailable").alias("extraction_status"),
     )
 
 
-def folder_rows(nodes: DataFrame, names: DataFrame, archive: str) -> DataFrame:
+def folder_rows(nodes: DataFrame, names: DataFrame, archive: Column | str, by: tuple[str, ...] = ()) -> DataFrame:
     """P04, P05. nodes(node_id, ordinal); names(node_id, display_name). The root comes first, every
     folder lies below it."""
-    n = nodes.where(ids.folder_kind(F.col("node_id")).isNotNull()).join(names, "node_id", "left")
+    n = nodes.where(ids.folder_kind(F.col("node_id")).isNotNull()).join(names, [*by, "node_id"], "left")
     identity = ids.node_identity(F.col("node_id"))
     name = F.coalesce(F.nullif(tx.trim(F.col("display_name")), F.lit("")), identity)
     root = ids.folder_key(archive, "root")
-    rows = n.select(ids.folder_key(archive, identity).alias("folder_key"), identity.alias("node_id"), root.alias("parent_folder_key"), name.alias("name"), F.concat(F.lit("/"), F.regexp_replace(name, r"[/\x00-\x1F\x7F]", "_")).alias("folder_path"), F.col("ordinal").cast("bigint").alias("ordinal"), F.lit("folder_found").alias("status"))
-    top = nodes.sparkSession.range(1).select(root.alias("folder_key"), F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_folder_key"), F.lit("root").alias("name"), F.lit("/").alias("folder_path"), F.lit(-1).cast("bigint").alias("ordinal"), F.lit("folder_synthetic_root").alias("status"))
+    rows = n.select(*by, ids.folder_key(archive, identity).alias("folder_key"), identity.alias("node_id"), root.alias("parent_folder_key"), name.alias("name"), F.concat(F.lit("/"), F.regexp_replace(name, r"[/\x00-\x1F\x7F]", "_")).alias("folder_path"), F.col("ordinal").cast("bigint").alias("ordinal"), F.lit("folder_found").alias("status"))
+    top = (nodes.select(*by).distinct() if by else nodes.sparkSession.range(1)).select(*by, root.alias("folder_key"), F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_folder_key"), F.lit("root").alias("name"), F.lit("/").alias("folder_path"), F.lit(-1).cast("bigint").alias("ordinal"), F.lit("folder_synthetic_root").alias("status"))
     return top.unionByName(rows)
 
 
