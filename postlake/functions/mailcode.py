@@ -237,3 +237,136 @@ def rtf_udf(v: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def rtf_html_udf(v: pd.Series) -> pd.Series:
     return v.map(rtf_html)
+
+
+def transport_date(headers: str | None) -> str | None:
+    """The Date field if there is exactly one and it is valid, as it stands."""
+    from email.utils import parsedate_to_datetime
+
+    found = re.findall(r"(?im)^date:[ \t]*([^\r\n]*)", headers or "")
+    if len(found) != 1:
+        return None
+    try:
+        parsedate_to_datetime(found[0].strip())
+    except (TypeError, ValueError):
+        return None
+    return found[0].strip()
+
+
+def _wrapped(raw: bytes) -> bytes:
+    return base64.encodebytes(raw).replace(b"\n", b"\r\n") if raw else b""
+
+
+def _leaf(media: str, content: bytes, extra: str = "") -> bytes:
+    try:
+        plain = "\0" not in content.decode()
+    except UnicodeDecodeError:
+        plain = False
+    plain = plain and media.startswith("text/")
+    charset = "; charset=utf-8" if plain else ""
+    head = f"Content-Type: {media}{charset}\r\nContent-Transfer-Encoding: {'8bit' if plain else 'base64'}\r\n{extra}\r\n".encode()
+    body = re.sub(rb"\r\n|\r|\n", b"\r\n", content) if plain else _wrapped(content)
+    return head + body + (b"" if body.endswith(b"\r\n") else b"\r\n")
+
+
+def _many(kind: str, boundary: str, parts: list[bytes], extra: str = "") -> bytes:
+    mark = f"--{boundary}".encode()
+    return f'Content-Type: multipart/{kind}; boundary="{boundary}"{extra}\r\n\r\n'.encode() + b"".join(mark + b"\r\n" + p for p in parts) + mark + b"--\r\n"
+
+
+def eml(key: str, fields: list[tuple[str, str | None]], bodies: dict[str, bytes], attachments: list[tuple[str, str | None, str | None, bytes]]) -> bytes | None:
+    """A message of any shape. bodies: text, html, rtf, report, calendar; attachments: (name,
+    media type, content id, content). Null without a body. Boundaries come from the message's key."""
+    if not any(bodies.get(k) is not None for k in ("text", "html", "rtf", "report")):
+        return None
+    head = "".join(f"{n}: {v}\r\n" for n, v in fields if v) + "MIME-Version: 1.0\r\n"
+    shown = [_leaf(f"text/{m}", bodies[k]) for k, m in (("text", "plain"), ("html", "html")) if bodies.get(k) is not None]
+    parts = [_many("alternative", f"alt-{key}", shown)] if len(shown) == 2 else shown
+    if bodies.get("rtf") is not None:
+        parts.append(_leaf("application/rtf", bodies["rtf"], 'Content-Disposition: attachment; filename="body.rtf"\r\n'))
+    if bodies.get("report") is not None:
+        parts.append(_leaf("message/delivery-status", bodies["report"]))
+    if bodies.get("calendar") is not None:
+        parts.append(_leaf("text/calendar", bodies["calendar"]))
+    for name, media, cid, content in attachments:
+        kind = media if media and "/" in media and not re.search(r"[;\r\n]", media) else "application/octet-stream"
+        inline = f"Content-ID: <{clean(cid)}>\r\n" if clean(cid) else ""
+        parts.append(_leaf(kind, content, f"Content-Disposition: {'inline' if inline else 'attachment'}; {parameter('filename', name)}\r\n{inline}"))
+    if len(parts) == 1:
+        return head.encode() + parts[0]
+    report = bodies.get("report") is not None
+    return head.encode() + _many("report" if report else "mixed", f"mix-{key}", parts, "; report-type=delivery-status" if report else "")
+
+
+def cfb(streams: dict[str, bytes]) -> bytes:
+    """A compound file of one storage with these streams; the container of .msg files. Streams
+    under 4096 bytes lie in the mini stream. Names are at most 31 UTF-16 units."""
+    free, end, fat_mark = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
+    order = sorted(streams, key=lambda n: (len(n), n.upper()))
+    if any(len(n.encode("utf-16-le")) > 62 or not n for n in order):
+        raise ValueError("a stream name is 1 to 31 UTF-16 units long")
+    fat: list[int] = []
+    sectors: list[bytes] = []
+
+    def put(data: bytes, size: int = 512) -> int:
+        count = -(-len(data) // size)
+        if not count:
+            return end
+        first = len(sectors)
+        for k in range(count):
+            sectors.append(data[k * size : (k + 1) * size].ljust(size, b"\0"))
+            fat.append(first + k + 1 if k + 1 < count else end)
+        return first
+
+    mini, mini_fat, starts = b"", [], {}
+    for name in order:
+        data = streams[name]
+        if len(data) >= 4096:
+            starts[name] = put(data)
+        elif data:
+            count, first = -(-len(data) // 64), len(mini_fat)
+            mini += data.ljust(64 * count, b"\0")
+            mini_fat += [first + k + 1 for k in range(count - 1)] + [end]
+            starts[name] = first
+        else:
+            starts[name] = end
+
+    def entry(name: str, kind: int, child: int, right: int, start: int, size: int) -> bytes:
+        raw = name.encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw) + 2 if name else 0, kind, 1, free, right, child) + bytes(36) + struct.pack("<IQ", start, size)
+
+    mini_start = put(mini)
+    # siblings hang to the right of one another, in the order that readers search by
+    listed = [entry("Root Entry", 5, 1 if order else free, free, mini_start, len(mini))]
+    listed += [entry(n, 2, free, k + 2 if k + 1 < len(order) else free, starts[n], len(streams[n])) for k, n in enumerate(order)]
+    listed += [bytes(68) + struct.pack("<III", free, free, free) + bytes(48)] * (-len(listed) % 4)
+    directory = put(b"".join(listed))
+    mini_fat_start = put(b"".join(struct.pack("<I", x) for x in mini_fat + [free] * (-len(mini_fat) % 128))) if mini_fat else end
+    need = 1
+    while need * 128 < len(fat) + need:
+        need += 1
+    if need > 109:
+        raise ValueError("over 109 allocation sectors")
+    table = fat + [fat_mark] * need
+    table += [free] * (need * 128 - len(table))
+    at = len(sectors)
+    sectors += [struct.pack("<128I", *table[k * 128 : (k + 1) * 128]) for k in range(need)]
+    difat = list(range(at, at + need)) + [free] * (109 - need)
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6)
+    head += struct.pack("<IIIIIIIII", 0, need, directory, 0, 4096, mini_fat_start, -(-len(mini_fat) // 128), end, 0) + struct.pack("<109I", *difat)
+    return head + b"".join(sectors)
+
+
+def msg(fields: dict[int, str | int | bytes]) -> bytes:
+    """A message file of properties by tag: texts (type 001F), bytes (0102) and 32-bit numbers (0003)."""
+    streams, table = {}, bytes(32)
+    for tag, value in sorted(fields.items()):
+        kind = tag & 0xFFFF
+        if kind == 0x0003:
+            table += struct.pack("<IIiI", tag, 6, value, 0)
+            continue
+        raw = value.encode("utf-16-le") if kind == 0x001F else value
+        streams[f"__substg1.0_{tag:08X}"] = raw
+        table += struct.pack("<IIII", tag, 6, len(raw) + (2 if kind == 0x001F else 0), 0)
+    streams["__properties_version1.0"] = table
+    return cfb(streams)
