@@ -150,7 +150,8 @@ def table_role(code: Column) -> Column:
 
 def flat_role(code: Column) -> Column:
     """X36, of flat recipient rows."""
-    return F.when(code == 1, "to").when(code == 2, "cc").when(code == 3, "bcc").when(code == 4, "reply_to").otherwise("unknown")
+    known = F.when(code == 1, "to").when(code == 2, "cc").when(code == 3, "bcc").when(code == 4, "reply_to")
+    return known.when(code.isNull(), "unknown").otherwise(F.concat(F.lit("unknown_"), code.cast("string")))
 
 
 def bounded_hex(content: Column, limit: int = 65536) -> Column:

@@ -72,6 +72,16 @@ def recipient_rows(tables: DataFrame) -> DataFrame:
     return r.select("message_key", ids.recipient_key(F.col("message_key"), role, F.col("ordinal")).alias("recipient_key"), role.alias("recipient_type"), F.col("z.names").alias("display_name"), F.col("z.smtp").alias("smtp_address"), F.col("z.raw").alias("raw_address"), "ordinal", status.alias("status"))
 
 
+def flat_recipients(rows: DataFrame) -> DataFrame:
+    """P17. rows(message_key, ordinal, role_code, recipient_name, display_name, raw_address,
+    address_type, smtp): an SMTP address is taken from the raw one where the address type says so."""
+    role = tx.flat_role(F.col("role_code"))
+    own = F.when((F.upper(F.col("address_type")) == "SMTP") & F.col("raw_address").contains("@"), F.col("raw_address"))
+    smtp = F.coalesce("smtp", own)
+    status = F.when(smtp.isNotNull(), "smtp_available").when(F.col("raw_address").isNotNull(), "raw_address_preserved").otherwise("address_unavailable")
+    return rows.select("message_key", ids.recipient_key(F.col("message_key"), role, F.col("ordinal")).alias("recipient_key"), role.alias("recipient_type"), F.coalesce("recipient_name", "display_name").alias("display_name"), "raw_address", "address_type", smtp.alias("smtp_address"), status.alias("resolution_status"), "ordinal")
+
+
 _ORDER = {"text": 0, "html": 1, "rtf": 2, "report": 3, "calendar": 4}
 _MEDIA = {"text": "text/plain", "html": "text/html", "rtf": "application/rtf", "report": "message/delivery-status", "calendar": "text/calendar"}
 

@@ -422,6 +422,26 @@ def subnode_entries(data: bytes) -> list[tuple[int, int, int]] | None:
     return None if any(not r[1] or r[0] >> 32 for r in rows) else rows
 
 
+_HEAPS = {0x7C: "heap_table_context", 0xBC: "heap_property_context", 0xB5: "heap_bth"}
+
+
+def layout_kind(data: bytes) -> str:
+    """What a subnode's block holds, by its first bytes. Flat tables are only told from the
+    rest, by whether their declared columns and rows fit."""
+    if len(data) < 8:
+        return "short"
+    if data[:2] == b"\x02\x00":
+        return "subnode_leaf" if subnode_entries(data) is not None else "subnode_leaf_damaged"
+    if data[2] == 0xEC:
+        try:
+            return _HEAPS.get(Heap(data).client, "heap_other")
+        except FormatError:
+            return "heap_damaged"
+    columns, rows, width = struct.unpack_from("<3H", data)
+    end = 8 + 8 * columns
+    return "flat_table" if 0 < columns <= 256 and width and end + rows * width <= len(data) else "unsupported"
+
+
 class Store:
     """One file: its indexes as dictionaries (S11), blocks on demand."""
 
@@ -475,3 +495,16 @@ class Store:
                 out.setdefault(node, (data, sub))
                 queue.append((sub, depth + 1))
         return out
+
+    def embedded(self, attachment: bytes, subnode_root: int) -> tuple[int, int, int]:
+        """(node, data block, subnode block) of the message that an attachment's object
+        property names by an 8-byte (node, size). The node has to be among the attachment's own
+        subnodes, so what another attachment holds is out of reach."""
+        found = [p for p in properties(attachment) if p.tag >> 16 == 0x3701 and len(p.raw) == 8]
+        if len(found) != 1:
+            raise FormatError(f"{len(found)} object references")
+        node = uint(found[0].raw, 0, 4)
+        below = self.subnodes(subnode_root)
+        if node not in below:
+            raise FormatError(f"no subnode 0x{node:08x}")
+        return node, *below[node]

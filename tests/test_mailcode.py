@@ -97,3 +97,10 @@ def test_families(spark):
     assert [(r.name, r.folder_path) for r in f] == [("root", "/"), ("In/box", "/In_box"), ("node_22", "/node_22")]
     h = spark.createDataFrame([("m1", "A: b\r\n"), ("m2", None), ("m3", "x")], "message_key string, transport_headers string")
     assert [(r.status, r.authoritative) for r in families.header_rows(h).orderBy("message_key").collect()] == [("transport_headers_valid", True), ("transport_headers_absent", False), ("transport_headers_invalid_missing_colon", False)]
+
+
+def test_flat_recipients(spark):
+    rows = [("m", 0, 1, None, "Ann", "a@x", "smtp", None), ("m", 1, 4, "Bob", "B", "/o=x", "EX", None), ("m", 2, None, None, None, None, None, None), ("m", 3, 9, None, None, "/o", "EX", "s@x")]
+    df = spark.createDataFrame(rows, "message_key string, ordinal int, role_code int, recipient_name string, display_name string, raw_address string, address_type string, smtp string")
+    got = [(r.recipient_type, r.display_name, r.smtp_address, r.resolution_status) for r in families.flat_recipients(df).orderBy("ordinal").collect()]
+    assert got == [("to", "Ann", "a@x", "smtp_available"), ("reply_to", "Bob", None, "raw_address_preserved"), ("unknown", None, None, "address_unavailable"), ("unknown_9", None, "s@x", "smtp_available")]

@@ -154,3 +154,16 @@ def test_data_source(spark, tmp_path):
     assert read_store(spark, str(tmp_path), "blocks").where("content is not null").count() == 4
     with pytest.raises(ValueError):
         read_store(spark, str(tmp_path), "nothing")
+
+
+def test_layouts_and_embedded_objects():
+    leaf = b"\x02\x00\x01\x00" + bytes(4) + struct.pack("<3Q", 0x44, 8, 12)
+    kinds = [c.layout_kind(x) for x in (b"abc", leaf, b"\x02\x00\x09\x00" + bytes(4), MESSAGE, NODES[0x2E], b"\xff\xff\xec\0\0\0\0\0", struct.pack("<4H", 1, 2, 4, 0) + bytes(16), b"\xff" * 20)]
+    assert kinds == ["short", "subnode_leaf", "subnode_leaf_damaged", "heap_property_context", "heap_table_context", "heap_damaged", "flat_table", "unsupported"]
+    s = c.Store(source(store(NODES | {0x64: leaf}, 0)))
+    root = next(n[1] for n in s.nodes if n[0] == 0x64)
+    ref = bag((0x3701, 0x000D, struct.pack("<II", 0x44, 99)))
+    assert s.embedded(ref, root) == (0x44, 8, 12)
+    for bad in (bag((0x3701, 0x000D, struct.pack("<II", 0x45, 99))), MESSAGE):
+        with pytest.raises(c.FormatError):
+            s.embedded(bad, root)
