@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.common import only
+from postlake.llm.common import only, settled
 
 BLOCK_TOKENS = 2000
 SHARDS = 8
@@ -52,7 +52,8 @@ def laid_out(docs: DataFrame, seed: int = SEED) -> DataFrame:
     d = only(docs, doc_id="doc_id", source="source", text="text").where("doc_id is not null and text is not null")
     d = d.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+")).cast("bigint").alias("tokens"), F.xxhash64("text").alias("txt"))
     d = d.where("tokens > 0").withColumn("k", _key(seed, "doc_id"))
-    d = d.withColumn("lane", F.substring("k", 1, 3))
+    # a few numbers a document, which the plan needs several times: the texts are read once
+    d = settled(d.withColumn("lane", F.substring("k", 1, 3)))
     own = Window.partitionBy("source", "lane").orderBy("k", "doc_id", "tokens", "txt").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("tokens").over(own), F.lit(0)))
     lane = d.groupBy("source", "lane").agg(F.sum("tokens").alias("t"))
