@@ -41,6 +41,7 @@ _COUNTER_BITS = 20
 _SLICES = 32
 _ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("sig", "<i8"), ("p0", "<u8"), ("p1", "<u8")])
 _PAIRS = 1 << 21
+_MAP_SLICES, _MAP_BITS = 6, 21
 
 
 def counter(h: np.ndarray) -> np.ndarray:
@@ -188,17 +189,28 @@ def _meet(group, num: int, den: int):
     return pa.table([pa.array(a[keep]), pa.array(b[keep]), pa.array(apart[keep].astype(np.int32))], ["a", "b", "apart"])
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The token sets of wanted lines."""
+def _spot(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slice and bit of a set in the map of wanted sets."""
+    u = sig.view(tv.U)
+    return (u >> tv.U(64 - _MAP_SLICES)).astype(np.int64), ((u >> tv.U(64 - _MAP_SLICES - _MAP_BITS)) & tv.U((1 << _MAP_BITS) - 1)).astype(np.int64)
+
+
+def _mark(group):
+    bits = np.zeros(1 << _MAP_BITS, bool)
+    part, at = _spot(group.column("sig").to_numpy())
+    bits[at] = True
+    return pa.table([pa.array(part[:1].astype(np.int32)), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"])
+
+
+def _token_batches(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """The token sets that the map of wanted sets lets through; it never keeps back a wanted one."""
     for batch in batches:
-        wanted = batch.column("wanted")
-        for i, j, data, offs in tv.pieces(tv.column(batch, "text"), lower=True):
+        for _, _, data, offs in tv.pieces(tv.column(batch, 0), lower=True):
             _, _, sig, lo, g = line_sets(data, offs)
-            ask = np.unique(np.asarray(wanted.slice(i, j - i).flatten()))
-            at = np.flatnonzero(np.isin(sig, ask))
-            _, one = np.unique(sig[at], return_index=True)
-            at = at[one]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array([g[lo[k] : lo[k + 1]].tobytes() for k in at], pa.binary())], ["sig", "tokens"])
+            _, one = np.unique(sig, return_index=True)
+            part, at = _spot(sig[one])
+            one = one[(wanted.value[part, at >> 3] >> (7 - (at & 7))) & 1 == 1]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[one]), pa.array([g[lo[k] : lo[k + 1]].tobytes() for k in one], pa.binary())], ["sig", "tokens"])
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -212,10 +224,17 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], num: int, den: int) -> It
 
 
 def _token_sets(pairs: DataFrame, src: DataFrame) -> DataFrame:
-    """(sig, tokens) of every set in a pair; the texts are shuffled once for all of them."""
-    ends = F.array(F.struct(F.col("y").alias("sig"), F.col("ydoc").alias("d")), F.struct(F.col("x").alias("sig"), F.col("xdoc").alias("d")))
-    need = pairs.select(F.explode(ends).alias("w")).groupBy("w.d").agg(F.collect_set("w.sig").alias("wanted"))
-    return src.join(need, src["doc_id"] == need["d"]).select("text", "wanted").mapInArrow(_token_batches, "sig bigint, tokens binary").dropDuplicates(["sig"])
+    """(sig, tokens) of every set in a pair. Which sets are wanted is told to the tasks by a map of
+    2**27 bits, a fixed 16 MB: what it lets through by chance is dropped by the join, and the texts
+    themselves aren't shuffled."""
+    wanted = pairs.select(F.explode(F.array("y", "x")).alias("sig")).distinct()
+    marks = np.zeros((1 << _MAP_SLICES, 1 << (_MAP_BITS - 3)), np.uint8)
+    rows = wanted.groupBy(F.shiftrightunsigned("sig", 64 - _MAP_SLICES).alias("k")).applyInArrow(_mark, "slice int, bits binary")
+    for r in rows.collect():
+        marks[r.slice] = np.frombuffer(bytes(r.bits), np.uint8)
+    sent = src.sparkSession.sparkContext.broadcast(marks)
+    found = src.select("text").mapInArrow(partial(_token_batches, wanted=sent), "sig bigint, tokens binary")
+    return found.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,7 +265,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     two = firsts.select(F.col("sig").alias("b"), F.struct("first", F.col("sig").alias("sig")).alias("pb"))
     # the later set of a pair is y, and its candidates are ordered by likelihood
     met = pairs.join(one, "a").join(two, "b").select(F.greatest("pa", "pb").alias("y"), F.least("pa", "pb").alias("x"), "apart")
-    met = met.select(F.col("y.sig").alias("y"), F.col("y.first.doc").alias("ydoc"), F.col("x.sig").alias("x"), F.col("x.first.doc").alias("xdoc"), "apart")
+    met = met.select(F.col("y.sig").alias("y"), F.col("x.sig").alias("x"), "apart")
     met = settled(met.withColumn("turn", F.row_number().over(Window.partitionBy("y").orderBy("apart", "x"))))
     tokens = settled(_token_sets(met, src))
     sure = settled(_verified(met.where("turn = 1"), tokens, num, den))
