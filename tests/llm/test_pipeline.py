@@ -114,3 +114,21 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", COLUMNS), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_further_columns_with_clashing_names(spark, staged):
+    folder, seen = staged
+    names = ["score", "kept", "line", "sig", "group_id", "component", "item_id", "block", "shard", "k", "a b"]
+    extra = seen[0]
+    for n in names:
+        extra = extra.withColumn(n, extra["doc_id"])
+    docs = extra
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, folder)
+        if k < 4:
+            docs.write.parquet(f"{folder}/x{k}")
+            docs = spark.read.parquet(f"{folder}/x{k}")
+            assert docs.columns == extra.columns
+            assert sorted(map(str, rows(docs))) == sorted(map(str, rows(seen[k + 1])))
+            assert docs.where("not (score <=> doc_id)").count() == 0
+    assert sorted([tuple(r) for r in docs.collect()], key=str) == sorted([tuple(r) for r in seen[5].collect()], key=str)
