@@ -31,3 +31,9 @@ def filetime_text(ticks: Column) -> Column:
 def first_date(transport: Column, sent: Column, received: Column) -> Column:
     """X52."""
     return F.coalesce(transport, sent, received)
+
+
+def adapter_date(header_date: Column, sent: Column, received: Column) -> Column:
+    """The header's text as it stands, else the sent or received FILETIME as a date."""
+    ticks = lambda c: F.regexp_extract(c, r"^filetime:(\d+)$", 1).try_cast("bigint")
+    return F.coalesce(F.nullif(F.trim(header_date), F.lit("")), filetime_rfc2822(ticks(sent)), filetime_rfc2822(ticks(received)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.functions import text as tx
-from postlake.functions.mailcode import unstructured_udf
+from postlake.functions.mailcode import rtf_udf, unstructured_udf
 
 _EPOCH = "Thu Jan 1 00:00:00 1970"
 
@@ -141,3 +141,27 @@ def write_tar(files: DataFrame, folder: str, target: int = 1 << 30) -> DataFrame
     os.makedirs(folder, exist_ok=True)
     rows = files.select("path", "content").repartitionByRange("path").sortWithinPartitions("path")
     return rows.mapInArrow(lambda b: _tar_batches(b, folder, target), "shard string, path string, size bigint")
+
+
+def rtf_files(bodies: DataFrame) -> DataFrame:
+    """K16. bodies(message_key, body_type, content): (message_key, path, content, status) of the RTF
+    bodies; content is null where it didn't decompress to what its header says."""
+    d = bodies.where("body_type = 'rtf'").select("message_key", rtf_udf("content").alias("content"))
+    ok = F.col("content").isNotNull() & F.startswith(F.col("content"), F.lit(b"{\\rtf"))
+    return d.select("message_key", F.concat(F.lit("rtf/"), "message_key", F.lit(".rtf")).alias("path"), F.when(ok, F.col("content")).alias("content"), F.when(ok, "rtf_validated").otherwise("rtf_invalid").alias("status"))
+
+
+def append_progress(events: DataFrame, path: str) -> None:
+    """Events as JSON lines behind those that are there."""
+    json_lines(events).write.mode("append").text(path)
+
+
+def typed_streams(contacts: DataFrame, calendars: DataFrame, journals: DataFrame, frame: tuple[str, str]) -> DataFrame:
+    """K11. (folder_path, text) of contacts, events and journals to (folder_path, file, content): a
+    file of each kind a folder; the events lie between the frame's two parts."""
+    out = None
+    for name, rows, (head, tail) in (("contacts.vcf", contacts, ("", "")), ("calendar.ics", calendars, frame), ("journal.ics", journals, ("", ""))):
+        g = rows.groupBy("folder_path").agg(F.array_join(F.array_sort(F.collect_list("text")), "").alias("body"))
+        part = g.select("folder_path", F.lit(name).alias("file"), F.concat(F.lit(head), "body", F.lit(tail)).alias("content"))
+        out = part if out is None else out.unionByName(part)
+    return out
