@@ -8,8 +8,8 @@ no equal at a smaller (doc_id, position), which is what a deduplication keeps.
 Plan: equal windows have to meet, and a whole corpus fits no suffix array. Each window goes to its
 minimiser, the smallest hash of the ``gram``-word grams in it: equal windows have equal minimisers,
 and neighbours mostly share theirs, so windows travel as segments. One shuffle by minimiser finds
-the segments that have an equal segment or meet a different one. The former need no sorting. Of the
-latter one copy of each distinct segment is fetched, and per minimiser a generalised suffix array
+the segments that have an equal segment, meet a different one or hold a window twice. The first need no
+sorting. Of the others one copy of each distinct segment is fetched, and per minimiser a generalised suffix array
 (suffixes.py) over them groups equal windows wherever they lie in their segments.
 
 Defined results: null texts and those of fewer than ``words`` words have no window; a null doc_id is
@@ -45,12 +45,13 @@ def _prefix(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(data: np.ndarray, offs: np.ndarray, words: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first word, windows, minimiser, hash of the content) of each segment."""
+    """(text, first word, windows, minimiser, hash of the content, holds a window twice) of each
+    segment. The last is asked of windows as far apart as one place of a minimiser lets them be."""
     h, _, _, wo = tv.words(data, offs)
     n = len(h) - words + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none.astype(bool)
     c, q = _prefix(h)
     g = len(h) - gram + 1
     low = tv.mix((c[gram:] - c[:g]) * q[:g])
@@ -70,15 +71,22 @@ def segments(data: np.ndarray, offs: np.ndarray, words: int, gram: int) -> tuple
     count = alive[nxt] - alive[at]
     end = at + count + words - 1
     content = tv.mix((c[end] - c[at]) * q[at] + count.astype(tv.U))
-    return doc[at], at - wo[doc[at]], count, low[at].view(np.int64), content.view(np.int64)
+    own = np.cumsum(fresh) - 1
+    window = (c[words : words + n] - c[:n]) * q[:n] + own.astype(tv.U)
+    twice = np.zeros(len(at), bool)
+    for d in range(1, min(width, n)):
+        k = np.flatnonzero(window[d:] == window[:-d])
+        k = k[ok[k] & ok[k + d] & (own[k] == own[k + d])]
+        twice[own[k]] = True
+    return doc[at], at - wo[doc[at]], count, low[at].view(np.int64), content.view(np.int64), twice
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch], words: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offs in tv.pieces(tv.column(batch, "text"), lower=True):
-            doc, at, count, low, content = segments(data, offs, words, gram)
+            doc, at, count, low, content, twice = segments(data, offs, words, gram)
             keys = [batch.column(k).slice(i, j - i).take(pa.array(doc)) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(low), pa.array(content)], ["doc_id", "txt", "at", "n", "m", "c"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(low), pa.array(content), pa.array(twice)], ["doc_id", "txt", "at", "n", "m", "c", "twice"])
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -155,15 +163,16 @@ def _group_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa
 def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """(doc_id, start_word, end_word, first): maximal runs of repeated windows, as word spans."""
     src = only(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("txt"), "text")
-    seg = src.mapInArrow(partial(_segment_batches, words=words, gram=gram), "doc_id bigint, txt bigint, at int, n int, m bigint, c bigint")
+    seg = src.mapInArrow(partial(_segment_batches, words=words, gram=gram), "doc_id bigint, txt bigint, at int, n int, m bigint, c bigint, twice boolean")
     by_c, by_m = Window.partitionBy("m", "c"), Window.partitionBy("m")
     spot = F.struct("doc_id", "txt", "at")
     # the windows by minimiser and by (minimiser, content) share one shuffle; a repeated row isn't a copy
     seg = seg.repartition("m")
     seg = seg.withColumn("least", F.min(spot).over(by_c)).withColumn("most", F.max(spot).over(by_c)).withColumn("copied", F.col("least") != F.col("most"))
-    # one minimiser is the smallest of at most words-gram+1 windows: a longer segment is periodic and may repeat within itself
-    mixed = (F.min("c").over(by_m) != F.max("c").over(by_m)) | (F.col("n") > words - gram + 1)
-    seg = seg.withColumn("mixed", mixed).where("copied or mixed").withColumn("own", F.col("least") == spot).drop("least", "most")
+    # one place of a minimiser serves at most words-gram+1 windows: a longer segment is periodic and may repeat
+    # within itself; so may a shorter one, which tells by ``twice``
+    mixed = (F.min("c").over(by_m) != F.max("c").over(by_m)) | (F.col("n") > words - gram + 1) | F.col("twice")
+    seg = seg.withColumn("mixed", mixed).where("copied or mixed").withColumn("own", F.col("least") == spot).drop("least", "most", "twice")
     seg = settled(seg)
     wanted = seg.where("own and mixed").groupBy("doc_id", "txt").agg(F.collect_set(F.struct("m", "c", "doc_id", "txt", "at", "n")).alias("wanted"))
     texts = src.join(wanted, ["doc_id", "txt"]).select("text", "wanted")

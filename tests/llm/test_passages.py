@@ -69,3 +69,17 @@ def test_spans_and_odd_rows(spark):
     got = {tuple(r) for r in repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 1, 61, True), (2, 2, 62, False), (6, 30000, 30060, False)}
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_short_periodic_texts(spark):
+    """A sentence that is said again and again, alone in the corpus: its repeats lie within one short segment."""
+    rows, r = [], random.Random(8)
+    for d in (1, 3, 5, 10, 15, 34):
+        for more in (0, 1, 7, 20, 35):
+            k = len(rows)
+            w = [f"t{k}x{i % d}" for i in range(50 + d + more)]
+            around = [[f"t{k}{side}{i}" for i in range(r.choice([0, 60]))] for side in "ab"]
+            rows.append((k, " ".join(around[0] + w + around[1])))
+    rows += [(100 + k, t) for k, t in rows[::4]]
+    got = windows(repeated_passages(spark.createDataFrame([(*x, "", 0) for x in rows], SCHEMA)), 50)
+    assert got == brute(rows, 50)
