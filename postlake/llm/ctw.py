@@ -113,7 +113,7 @@ _NODES = "ctx bigint, node int, a bigint, b bigint, pw double, stay double"
 
 
 def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(level, ctx, node, one, stay): the prediction for 1 at each seen node, and its weight. The
+    """(level, ctx, node, odds, stay): the odds of 1 against 0 at each seen node, and its weight. The
     context's bytes count from the last one, in the low 8 bits."""
     steps = F.array(*[F.struct(F.lit(k).alias("k")) for k in range(8)])
     bits = counts.select(F.shiftright("gram", 8).alias("ctx"), F.expr("cast(gram & 255 as int)").alias("byte"), "n", F.explode(steps).alias("s"))
@@ -124,7 +124,7 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     for d in range(depth, -1, -1):
         # each level feeds the result and the level above: cut here, or the lower ones run again
         level = settled(level.mapInArrow(partial(_weigh_batches, leaf=d == depth), _NODES))
-        rows = level.select(F.lit(d).alias("level"), "ctx", "node", ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).alias("one"), "stay")
+        rows = level.select(F.lit(d).alias("level"), "ctx", "node", ((F.col("b") + 0.5) / (F.col("a") + 0.5)).alias("odds"), "stay")
         out = rows if out is None else out.unionByName(rows)
         if d:
             up = F.expr(f"ctx & {(1 << 8 * (d - 1)) - 1}")
@@ -143,12 +143,12 @@ class Tree:
     def of(cls, table: pa.Table, depth: int, last: np.ndarray) -> "Tree":
         level = np.asarray(table.column("level"))
         key = (np.asarray(table.column("ctx")).astype(np.int64) << 8) | np.asarray(table.column("node"))
-        one, stay = (np.asarray(table.column(k)).astype(np.float64) for k in ("one", "stay"))
+        odds, stay = (np.asarray(table.column(k)).astype(np.float64) for k in ("odds", "stay"))
         levels = []
         for d in range(depth + 1):
             at = np.flatnonzero(level == d)
             at = at[np.argsort(key[at])]
-            levels.append((key[at], one[at], stay[at]))
+            levels.append((key[at], odds[at], stay[at]))
         return cls(levels, last)
 
     def bits(self, gram: np.ndarray) -> np.ndarray:
@@ -161,14 +161,15 @@ class Tree:
             bit = (byte >> (7 - k)) & 1
             p = np.zeros(len(g))
             left = np.ones(len(g))
-            for d, (keys, one, stay) in enumerate(self.levels):
+            for d, (keys, odds, stay) in enumerate(self.levels):
                 ctx = (g >> 8) & ((1 << 8 * d) - 1)
                 want = (ctx << 8) | node
                 at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
                 seen = keys[at] == want if len(keys) else np.zeros(len(g), bool)
-                p += np.where(seen, left * stay[at] * one[at], left * 0.5) if len(keys) else left * 0.5
+                # the outcome's own ratio, (a+1/2) or (b+1/2) over a+b+1: a rare one's would be lost in 1 - p
+                p += np.where(seen, left * stay[at] / (1 + np.where(bit == 1, 1 / odds[at], odds[at])), left * 0.5) if len(keys) else left * 0.5
                 left = np.where(seen, left * (1 - stay[at]), 0) if len(keys) else np.zeros(len(g))
-            out -= np.log2(np.where(bit == 1, p, 1 - p))
+            out -= np.log2(p)
         return out
 
 
@@ -216,7 +217,7 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, depth: int = DEPTH,
     for own in groups if depth else [list(range(256))]:
         last = np.zeros(256, bool)
         last[own] = True
-        part = nodes.where(F.col("last").isNull() | F.col("last").isin(own)).select("level", "ctx", F.col("node").cast("smallint"), F.col("one").cast("float"), F.col("stay").cast("float"))
+        part = nodes.where(F.col("last").isNull() | F.col("last").isin(own)).select("level", "ctx", F.col("node").cast("smallint"), "odds", "stay")
         sent = spark.sparkContext.broadcast(Tree.of(part.toArrow(), depth, last))
         rows = src.mapInArrow(partial(_score_batches, tree=sent, depth=depth), "row bigint, doc_id bigint, n_bytes bigint, bits double")
         out = rows if out is None else out.unionByName(rows)

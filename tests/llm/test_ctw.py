@@ -3,9 +3,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from postlake.llm import ctw
 from postlake.llm.ctw import log_gamma, log_kt, scored
 
 SCHEMA = "doc_id bigint, text string, bits double, row bigint"
@@ -91,3 +93,21 @@ def test_log_gamma():
     x = np.concatenate([np.arange(1, 400) / 2, [1e4, 1e9, 1e15]])
     assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
     assert abs(log_kt(np.array([0]), np.array([0]))[0]) < 1e-12
+
+
+def test_a_rare_byte_among_many(spark, monkeypatch):
+    """One 'a' among 1e8 'q' of the same context: its rare bit costs what its own ratio says."""
+    count = ctw._count_batches
+
+    def many(batches, depth):
+        for batch in count(batches, depth):
+            often = (np.asarray(batch.column("gram")) & 255) == ord("q")
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(np.asarray(batch.column("n")) * np.where(often, 10**8, 1))], ["gram", "n"])
+
+    monkeypatch.setattr(ctw, "_count_batches", many)
+    df = spark.createDataFrame([(0, "q" * 9 + "a", 0.0, 0), (1, "q" * 9, 0.0, 0)], SCHEMA)
+    for depth in (0, 3):
+        got = {r.doc_id: r.bits for r in scored(df, depth=depth).collect()}
+        # 'qqq' stands before 12 of the 18 'q'; the four bits after the rare one were seen once, at 3/4 each
+        low, high = (math.log2((n + 2) / 1.5) + 4 * math.log2(4 / 3) for n in (18e8 if depth == 0 else 12e8, 18e8))
+        assert math.isfinite(got[1]) and low - 1e-3 < got[0] - got[1] < high + 1e-3
