@@ -483,3 +483,26 @@ def children(spark, d):
     b = low.where("event_id % 3 <> 0").withColumn("body_type", F.lit("text"))
     emls = low.select("message_key", F.concat(F.lit("mail of "), "message_key").alias("eml"))
     return reports.materialized_children(a, m, b, emls).drop("eml")
+
+
+@query("J09_children_whole", tw.with_(
+    "a AS (SELECT 'a' || (CASE WHEN event_id % 97 = 0 THEN event_id - 1 ELSE event_id END) AS attachment_key, (CASE WHEN event_id % 9 = 0 THEN 'c' ELSE 'p' END) || event_id AS message_key, 'c' || (CASE WHEN event_id % 10 = 3 THEN event_id - 1 ELSE event_id END) AS child, CASE WHEN event_id % 4 = 1 THEN 11 ELSE length('mail of c' || event_id) END AS declared FROM events)",
+    "m AS (SELECT 'c' || event_id AS k FROM events WHERE event_id % 7 <> 1 UNION ALL SELECT 'c' || event_id FROM events WHERE event_id % 5 = 0)",
+    "b AS (SELECT 'c' || event_id AS k FROM events WHERE event_id % 3 <> 0)",
+    "e AS (SELECT 'c' || event_id AS k FROM events WHERE event_id % 11 <> 4)")
+    + """, u AS (SELECT child FROM a GROUP BY child HAVING count(*) = 1), ua AS (SELECT attachment_key FROM a GROUP BY attachment_key HAVING count(*) = 1), um AS (SELECT k FROM m GROUP BY k HAVING count(*) = 1) SELECT attachment_key, child AS message_key, CAST(length('mail of ' || child) AS BIGINT) AS size_bytes, sha256('mail of ' || child) AS sha256, CASE WHEN length('mail of ' || child) = declared THEN 'size_matched' ELSE 'size_mismatch' END AS size_status
+ FROM a WHERE child IN (SELECT child FROM u) AND attachment_key IN (SELECT attachment_key FROM ua) AND child IN (SELECT k FROM um) AND child IN (SELECT k FROM b) AND child IN (SELECT k FROM e) AND child NOT IN (SELECT message_key FROM a)""")
+def children_whole(spark, d):
+    """J09 over every event: gaps and duplicates are shares of the ids, so that rows grow with the table."""
+    e = dr.table(spark, d, "events").select("event_id")
+    k = F.col("event_id")
+    name = lambda p, n: F.concat(F.lit(p), n.cast("string"))
+    mail = lambda key: F.concat(F.lit("mail of "), key)
+    owner = F.when(k % 9 == 0, name("c", k)).otherwise(name("p", k))
+    declared = F.when(k % 4 == 1, 11).otherwise(F.length(mail(name("c", k)))).cast("bigint")
+    a = e.select(name("a", F.when(k % 97 == 0, k - 1).otherwise(k)).alias("attachment_key"), owner.alias("message_key"), name("c", F.when(k % 10 == 3, k - 1).otherwise(k)).alias("embedded_key"), F.lit(5).alias("attachment_method"), declared.alias("declared_size_bytes"))
+    c = e.select(k, name("c", k).alias("message_key"))
+    m = c.where("event_id % 7 <> 1").unionByName(c.where("event_id % 5 = 0"))
+    b = c.where("event_id % 3 <> 0").withColumn("body_type", F.lit("text"))
+    emls = c.where("event_id % 11 <> 4").select("message_key", mail(F.col("message_key")).alias("eml"))
+    return reports.materialized_children(a, m, b, emls).drop("eml")
