@@ -56,10 +56,10 @@ def brute(texts, depth):
 TEXTS = ["the cat sat on the mat", "the dog sat on the log", "", "a", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "é ü ñ \U0001f600", "the cat sat on the mat"]
 
 
-@pytest.mark.parametrize("depth,nodes", [(0, 10**6), (1, 10**6), (3, 10**6), (3, 60)])
-def test_against_the_definition(spark, depth, nodes):
+@pytest.mark.parametrize("depth,size", [(0, 10**6), (1, 10**6), (3, 10**6), (3, 40), (6, 10**6), (7, 40)])
+def test_against_the_definition(spark, depth, size):
     df = spark.createDataFrame([(i, t, 0.0, 0) for i, t in enumerate(TEXTS)], SCHEMA)
-    got = {r.doc_id: r for r in scored(df, depth=depth, pass_nodes=nodes).collect()}
+    got = {r.doc_id: r for r in scored(df, depth=depth, batch_bytes=size, bucket_bytes=size).collect()}
     for i, want in enumerate(brute(TEXTS, depth)):
         size = len(TEXTS[i].encode())
         assert got[i].n_bytes == size and abs(got[i].bits - want) < 1e-3 * max(1, want)
@@ -97,14 +97,14 @@ def test_log_gamma():
 
 def test_a_rare_byte_among_many(spark, monkeypatch):
     """One 'a' among 1e8 'q' of the same context: its rare bit costs what its own ratio says."""
-    count = ctw._count_batches
+    pack = ctw._pack_batches
 
-    def many(batches, depth):
-        for batch in count(batches, depth):
-            often = (np.asarray(batch.column("gram")) & 255) == ord("q")
-            yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(np.asarray(batch.column("n")) * np.where(often, 10**8, 1))], ["gram", "n"])
+    def many(batches, depth, buckets):
+        for batch in pack(batches, depth, buckets):
+            n = [ctw._unzip(x, np.uint32) * np.where(ctw._unzip(g, np.uint64) & np.uint64(255) == ord("q"), 10**8, 1).astype(np.uint32) for g, x in zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([ctw._zip(x) for x in n], pa.binary())], batch.schema.names)
 
-    monkeypatch.setattr(ctw, "_count_batches", many)
+    monkeypatch.setattr(ctw, "_pack_batches", many)
     df = spark.createDataFrame([(0, "q" * 9 + "a", 0.0, 0), (1, "q" * 9, 0.0, 0)], SCHEMA)
     for depth in (0, 3):
         got = {r.doc_id: r.bits for r in scored(df, depth=depth).collect()}
