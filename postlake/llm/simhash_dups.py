@@ -1,22 +1,29 @@
 """Operator 10, SimHash near-dedup by meet-in-the-middle ball hashing.
 
-A document's fingerprint has ``blocks`` words of 32 bits: bit b is the sign of the sum, over the
-document's distinct words, of +1 or -1 by bit b of the word's hash. Two fingerprints are near when
+A document's fingerprint has ``BLOCKS`` words of ``WIDTH`` bits: bit b is the sign of the sum, over
+the document's distinct words, of +1 or -1 by bit b of the word's hash. Two fingerprints are near when
 they differ in at most ``radius_share`` of their bits.
 
-Search: each 32-bit block is a fingerprint of its own with radius 2. It emits all 33 variants
-within half that radius (itself and each single flip); two blocks at distance 2 or less share a
-variant, so the shuffle on (block number, variant) brings them together. A pair meets if any block
-is that close. Colliding sets are deduplicated and verified on the whole fingerprint; the verified
-pairs' connected components are the groups.
+Search: each block is a fingerprint of its own with radius 2. It emits all 29 variants within half
+that radius (itself and each single flip); two blocks at distance 2 or less share a variant, so the
+shuffle on (block number, variant) brings them together. A pair meets if any block is that close.
+Colliding sets are deduplicated and verified on the whole fingerprint; the verified pairs' connected
+components are the groups.
 
-Guarantee: any pair at Hamming distance up to 3*blocks-1 is found for sure (pigeonhole). Beyond,
-up to the verified radius, the search is approximate; the tests hold its recall to 0.9.
+Guarantee: any pair at Hamming distance up to 3*BLOCKS-1 = 41 is found for sure (pigeonhole). Beyond,
+up to the verified radius of 61, a pair is met with a chance that falls to 0.92 at the radius itself;
+the tests hold both, by distance. A ball of half of 61 around a whole fingerprint of 392 bits has
+more members than there are documents, so the whole radius can't be covered for sure.
+
+Sizes: how many buckets the variants go to follows from the counted fingerprints, so a bucket holds
+about ``BUCKET`` bytes at every size. In a set, a family of mutually near fingerprints is joined from
+its first member on, each step against what isn't joined yet, and not by all its pairs.
 
 Defined results: a null or wordless text has no fingerprint and joins no group; a null doc_id is
 ignored; a doc_id that is repeated counts once (under each text it has); documents with equal
 fingerprints are always grouped, whatever their number; the kept document of a group is the one
-with the smallest doc_id. An empty table gives no rows. Other columns are ignored.
+with the smallest doc_id, so ties can't be; texts of any length are read in whole. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +39,11 @@ from pyspark.sql import functions as F
 from postlake.llm import textvec as tv
 from postlake.llm.common import only, parts, settled
 
-BLOCKS = 12
-RADIUS_SHARE = 0.18
-_ENTRY = np.dtype([("key", "<u8"), ("id", "<i8")])
+BLOCKS, WIDTH = 14, 28
+RADIUS_SHARE = 0.156
+#: Bytes of variants a bucket.
+BUCKET = 1 << 25
+_ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
 
 
 def _unique_words(h: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +61,7 @@ def _unique_words(h: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fingerprints(data: np.ndarray, offs: np.ndarray, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """(has words, fingerprints as uint32 of shape (rows, blocks))."""
+    """(has words, fingerprints as uint32 of shape (rows, blocks), of which WIDTH bits are used)."""
     h, _, _, wo = tv.words(data, offs)
     u, uo = _unique_words(h, wo)
     has = np.diff(uo) > 0
@@ -69,7 +78,7 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, blocks: int = BLOCKS) -> tu
         ones = np.add.reduceat(np.unpackbits(bits.reshape(-1, 8), axis=1, bitorder="little"), begins, axis=0, dtype=np.int32)
         words = np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view("<u4")
         out[rows, 2 * k : 2 * k + 2] = words[:, : blocks - 2 * k]
-    return has, out
+    return has, out & np.uint32((1 << WIDTH) - 1)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
@@ -90,26 +99,31 @@ def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def _ball_batches(batches: Iterator[pa.RecordBatch], blocks: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Emits each block's variants. Those of one batch for one bucket travel as one value: at
-    worst a value holds a single variant, so this is never more rows than one a variant."""
-    flips = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint32)
+    """Emits each block's variants; a block has ``buckets`` buckets of its own. Variants of one batch
+    for one bucket travel as one value: at worst a value holds a single variant, so this is never
+    more rows than one a variant."""
+    flips = np.concatenate([[0], 1 << np.arange(WIDTH)]).astype(np.uint32)
     for batch in batches:
         if not len(batch):
             continue
         ids = batch.column(0).to_numpy()
         fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, blocks)
-        for a in range(0, len(ids), 4096):
-            sub, own = fp[a : a + 4096], ids[a : a + 4096]
+        for a in range(0, len(ids), 8192):
+            sub, own = fp[a : a + 8192], ids[a : a + 8192]
             for k in range(blocks):
-                keys = (sub[:, k : k + 1] ^ flips).astype(tv.U).ravel() | tv.U(k << 32)
+                keys = (sub[:, k : k + 1] ^ flips).ravel()
                 e = np.empty(len(keys), _ENTRY)
                 e["key"], e["id"] = keys, np.repeat(own, len(flips))
-                to = (tv.mix(keys.copy()) % tv.U(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                e, to = e[order], to[order]
-                cut = np.flatnonzero(np.diff(to, prepend=-1))
-                ends = np.append(cut[1:], len(to))
-                yield pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array([e[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())], ["bucket", "packed"])
+                if buckets == 1:
+                    to, cut, ends = np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(e)])
+                else:
+                    to = (tv.mix(keys.astype(tv.U)) % tv.U(buckets)).astype(np.int64)
+                    order = np.argsort(to, kind="stable")
+                    e, to = e[order], to[order]
+                    cut = np.flatnonzero(np.diff(to, prepend=-1))
+                    ends = np.append(cut[1:], len(to))
+                packed = pa.array([e[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut] + k * buckets), packed], ["bucket", "packed"])
 
 
 def _collide(group):
@@ -136,21 +150,24 @@ def _collide(group):
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of rows of bytes."""
+    """Hamming distances of rows of bytes or words."""
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index connected with each of n, over edges a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if np.array_equal(label, before):
-            return label
+def families(part: np.ndarray, radius: int) -> np.ndarray:
+    """The first row that each row is connected with by pairs within the radius. A row is held
+    against those alone that no family has taken yet."""
+    label = np.arange(len(part))
+    rest = label.copy()
+    while len(rest):
+        lead, rest = rest[0], rest[1:]
+        queue = [lead]
+        while queue and len(rest):
+            hit = near(part[queue.pop()], part[rest]) <= radius
+            new, rest = rest[hit], rest[~hit]
+            label[new] = lead
+            queue.extend(new.tolist())
+    return label
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -160,27 +177,19 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
         off = np.asarray(col.offsets)
         flat = col.values
         ids = flat.field(0).to_numpy()
-        width = len(flat.field(1)[0].as_py()) if len(flat) else 1
-        fp = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint8).reshape(-1, width)
+        width = len(flat.field(1)[0].as_py()) if len(flat) else 4
+        fp = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint64 if width % 8 == 0 else np.uint32)
+        fp = fp.reshape(-1, width // fp.itemsize)
         size = np.diff(off)
         two = off[:-1][size == 2]
         ok = near(fp[two], fp[two + 1]) <= radius
         src, dst = [ids[two[ok]]], [ids[two[ok] + 1]]
         for k in np.flatnonzero(size > 2):
             s, e = off[k], off[k + 1]
-            part, own, n = fp[s:e], ids[s:e], e - s
-            a, b = [], []
-            for i in range(0, n, 512):
-                for j in range(i, n, 512):
-                    d = near(part[i : i + 512, None], part[None, j : j + 512])
-                    x, y = np.nonzero(d <= radius)
-                    x, y = x + i, y + j
-                    a.append(x[x < y])
-                    b.append(y[x < y])
-            label = components(n, np.concatenate(a), np.concatenate(b))
-            move = np.flatnonzero(label != np.arange(n))
-            src.append(own[move])
-            dst.append(own[label[move]])
+            label = families(fp[s:e], radius)
+            move = np.flatnonzero(label != np.arange(e - s))
+            src.append(ids[s:e][move])
+            dst.append(ids[s:e][label[move]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
 
@@ -214,14 +223,18 @@ def connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS, radius_share: float = RADIUS_SHARE) -> DataFrame:
     """(doc_id, group_id, kept): the documents that have near duplicates, by group. group_id is
     the group's smallest doc_id and kept marks that document."""
-    spark = docs.sparkSession
-    fps = settled(fingerprint_table(docs, doc_id, text, blocks))
+    return grouped(fingerprint_table(docs, doc_id, text, blocks), blocks, radius_share)
+
+
+def grouped(fingerprints_: DataFrame, blocks: int = BLOCKS, radius_share: float = RADIUS_SHARE, bucket_bytes: int = BUCKET) -> DataFrame:
+    """The same from (doc_id, fp)."""
+    fps = settled(fingerprints_)
     reps = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count_distinct("doc_id").alias("n")))
-    buckets = 4 * parts(spark)
+    buckets = -(-reps.count() * (WIDTH + 1) * _ENTRY.itemsize // bucket_bytes) or 1
     balls = reps.select("id", "fp").mapInArrow(partial(_ball_batches, blocks=blocks, buckets=buckets), "bucket bigint, packed binary")
     sets = balls.groupBy("bucket").applyInArrow(_collide, "sig bigint, ids array<bigint>").dropDuplicates(["sig"])
     held = sets.select("sig", F.explode("ids").alias("id")).join(reps.select("id", "fp"), "id").groupBy("sig").agg(F.collect_list(F.struct("id", "fp")).alias("members"))
-    edges = held.select("members").mapInArrow(partial(_verify_batches, radius=int(radius_share * 32 * blocks)), "src bigint, dst bigint")
+    edges = held.select("members").mapInArrow(partial(_verify_batches, radius=int(radius_share * WIDTH * blocks)), "src bigint, dst bigint")
     comp = connected(edges)
     rep_group = reps.join(comp, reps["id"] == comp["node"], "left").select("fp", F.coalesce("component", "id").alias("group_id"), (F.col("component").isNotNull() | (F.col("n") > 1)).alias("grouped"))
     return fps.join(rep_group.where("grouped"), "fp").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept")).distinct()

@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
 from postlake.llm import textvec as tv
-from postlake.llm.simhash_dups import BLOCKS, RADIUS_SHARE, connected, fingerprints, near, near_duplicates
+from postlake.llm.simhash_dups import BLOCKS, RADIUS_SHARE, WIDTH, connected, families, fingerprints, grouped, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, group_id string, fp string"
 
@@ -28,19 +29,53 @@ def corpus(seed, originals=150):
     return rows
 
 
+ALL = (1 << 64) - 1
+RADIUS = int(RADIUS_SHARE * WIDTH * BLOCKS)
+
+
+def mixed(x):
+    """The finaliser in whole numbers."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & ALL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & ALL
+    return x ^ (x >> 31)
+
+
+def fingerprint(text):
+    """The definition, a bit at a time, in one whole number; None without words."""
+    words = set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower()))
+    own = [int(tv.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) >> 8 for w in words]
+    out = 0
+    for block in range(BLOCKS):
+        lane, low = divmod(block, 2)
+        votes = [mixed((u * (2 * lane + 1) + 0xA0761D6478BD642F + lane) & ALL) for u in own]
+        for b in range(WIDTH):
+            ones = sum(v >> (32 * low + b) & 1 for v in votes)
+            out |= (2 * ones > len(own)) << (32 * block + b)
+    return out if own else None
+
+
 def brute(texts):
-    col = pa.array([t.lower() for t in texts])
-    has, fp = fingerprints(*tv.raw(col))
-    b = np.ascontiguousarray(fp).view(np.uint8).reshape(len(texts), -1)
-    d = near(b[:, None], b[None])
-    return has, d <= int(RADIUS_SHARE * 32 * BLOCKS)
+    fp = [fingerprint(t) for t in texts]
+    close = np.zeros((len(fp), len(fp)), bool)
+    for i, a in enumerate(fp):
+        for j in range(i, len(fp)):
+            close[i, j] = close[j, i] = a is not None and fp[j] is not None and (a ^ fp[j]).bit_count() <= RADIUS
+    return close
+
+
+def test_fingerprints_by_the_definition():
+    texts = [*corpus(4, 20), "", "one", "Zwei zwei \u00e9t\u00e9"]
+    has, fp = fingerprints(*tv.raw(pa.array([t.lower() for t in texts])))
+    for t, h, x in zip(texts, has, fp):
+        want = fingerprint(t)
+        assert h == (want is not None) and int.from_bytes(x.tobytes(), "little") == (want or 0)
 
 
 def test_recall_against_brute_force(spark):
     texts = corpus(1)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
     group = {r.doc_id: r.group_id for r in near_duplicates(df).collect()}
-    _, close = brute(texts)
+    close = brute(texts)
     a, b = np.nonzero(np.triu(close, 1))
     assert len(a) > 100
     met = sum(group.get(int(x)) is not None and group.get(int(x)) == group.get(int(y)) for x, y in zip(a, b))
@@ -49,17 +84,45 @@ def test_recall_against_brute_force(spark):
         assert doc == g or close[doc].sum() > 1
 
 
-def test_pigeonhole_guarantee():
+def test_recall_by_distance(spark):
+    """All pairs within the guarantee, and nine in ten at the radius itself; none beyond it."""
     r = np.random.default_rng(0)
-    x = r.integers(0, 2, 32 * BLOCKS)
-    for _ in range(50):
-        y = x.copy()
-        y[r.choice(len(y), 3 * BLOCKS - 1, replace=False)] ^= 1
-        assert (np.abs(x - y).reshape(BLOCKS, 32).sum(1) <= 2).any()
+    n, bits = 1000, WIDTH * BLOCKS
+
+    def packed(x):
+        wide = np.zeros((BLOCKS, 32), np.uint8)
+        wide[:, :WIDTH] = x.reshape(BLOCKS, WIDTH)
+        return np.packbits(wide, bitorder="little").tobytes()
+
+    for distance, least in ((3 * BLOCKS - 1, 1.0), (50, 0.97), (RADIUS, 0.9), (RADIUS + 1, None)):
+        rows = []
+        for k in range(n):
+            x = r.integers(0, 2, bits)
+            y = x.copy()
+            y[r.choice(bits, distance, replace=False)] ^= 1
+            rows += [(2 * k, packed(x)), (2 * k + 1, packed(y))]
+        got = {(x.doc_id, x.group_id) for x in grouped(spark.createDataFrame(rows, "doc_id bigint, fp binary"), bucket_bytes=100_000).collect() if not x.kept}
+        assert all(a == g + 1 for a, g in got)
+        assert not got if least is None else len(got) >= least * n
+
+
+def test_families_are_the_components():
+    r = np.random.default_rng(1)
+    part = r.integers(0, 1 << 60, (80, 1), dtype=np.uint64)
+    for k in range(30, 80):
+        part[k] = part[r.integers(0, k)] ^ np.uint64(1 << int(r.integers(0, 60)))
+    want = np.arange(80)
+    for _ in range(80):
+        for i in range(80):
+            for j in range(80):
+                if int(part[i, 0] ^ part[j, 0]).bit_count() <= 1:
+                    want[i] = want[j] = min(want[i], want[j])
+    assert (families(part, 1) == want).all()
+    assert (families(np.zeros((50_000, 7), np.uint64), 3) == 0).all()  # one pass, not all pairs
 
 
 def test_odd_rows(spark):
-    long = "lorem ipsum dolor " * 20000
+    long = " ".join(f"w{k}" for k in range(40)) * 2000 + " "
     rows = [(5, None, None, None), (6, "", None, None), (7, " \n", None, None), (None, "a b c d", None, None), (3, long, None, None), (2, long + "x1", None, None),
             (1, "one two three", None, None), (1, "one two three", None, None), (9, "one two three", None, None), (4, "wholly other words here", None, None)]
     got = {(r.doc_id, r.group_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
