@@ -32,8 +32,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays."""
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    """Of each group the document with the smallest id stays. Line dedup takes what a later near copy
+    shares with its original, and what is left of it resembles nothing any more; so a document is
+    held against the others both as it is now and as it stands in the table of documents."""
+    now = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    was = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    both = now.unionByName(was.join(now.select("doc_id").distinct(), "doc_id", "left_semi"))
+    found = near_duplicates(both).groupBy("doc_id").agg((F.min("group_id") == F.col("doc_id")).alias("kept"))
     return _without(docs, found.where("not kept"))
 
 
