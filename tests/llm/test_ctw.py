@@ -56,7 +56,7 @@ def brute(texts, depth):
 TEXTS = ["the cat sat on the mat", "the dog sat on the log", "", "a", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "é ü ñ \U0001f600", "the cat sat on the mat"]
 
 
-@pytest.mark.parametrize("depth,size", [(0, 10**6), (1, 10**6), (3, 10**6), (3, 40), (6, 10**6), (7, 40)])
+@pytest.mark.parametrize("depth,size", [(0, 10**6), (3, 40), (6, 10**6), (7, 40)])
 def test_against_the_definition(spark, depth, size):
     df = spark.createDataFrame([(i, t, 0.0, 0) for i, t in enumerate(TEXTS)], SCHEMA)
     got = {r.doc_id: r for r in scored(df, depth=depth, batch_bytes=size, bucket_bytes=size).collect()}

@@ -94,16 +94,18 @@ def test_recall_by_distance(spark):
         wide[:, :WIDTH] = x.reshape(BLOCKS, WIDTH)
         return np.packbits(wide, bitorder="little").tobytes()
 
-    for distance, least in ((3 * BLOCKS - 1, 1.0), (50, 0.97), (RADIUS, 0.9), (RADIUS + 1, None)):
-        rows = []
-        for k in range(n):
+    rows, steps = [], ((3 * BLOCKS - 1, 1.0), (50, 0.97), (RADIUS, 0.9), (RADIUS + 1, None))
+    for distance, _ in steps:
+        for _ in range(n):
             x = r.integers(0, 2, bits)
             y = x.copy()
             y[r.choice(bits, distance, replace=False)] ^= 1
-            rows += [(2 * k, packed(x)), (2 * k + 1, packed(y))]
-        got = {(x.doc_id, x.group_id) for x in grouped(spark.createDataFrame(rows, "doc_id bigint, fp binary"), bucket_bytes=100_000).collect() if not x.kept}
-        assert all(a == g + 1 for a, g in got)
-        assert not got if least is None else len(got) >= least * n
+            rows += [(len(rows), packed(x)), (len(rows) + 1, packed(y))]
+    got = {(x.doc_id, x.group_id) for x in grouped(spark.createDataFrame(rows, "doc_id bigint, fp binary"), bucket_bytes=400_000).collect() if not x.kept}
+    assert all(a == g + 1 for a, g in got)
+    for k, (_, least) in enumerate(steps):
+        met = sum(g // (2 * n) == k for _, g in got)
+        assert not met if least is None else met >= least * n
 
 
 def test_families_are_the_components():
