@@ -41,7 +41,7 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_pairs.near_pairs(table(spark, sf_dir, "embeddings"))
+    return embedding_pairs.linked(table(spark, sf_dir, "embeddings"))
 
 
 def op2_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:

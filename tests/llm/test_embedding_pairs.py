@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from postlake.llm.embedding_pairs import near_pairs, possible, quantised
+from postlake.llm.embedding_pairs import linked, near_pairs, possible, quantised
 
 SCHEMA = "vec_id bigint, embedding array<float>, a bigint, cosine double, block int"
 
@@ -27,6 +27,21 @@ def test_against_brute_force(spark, threshold):
     assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
+@pytest.mark.parametrize("block", [3, 4000])
+def test_links_against_brute_force(spark, block):
+    """Blocks of three make super-tiles of several blocks; copies are one class, equal similarities all count."""
+    x = made(160, 8)
+    x = np.concatenate([x, x[:40], x[:9], -x[:5], x[:5] * 2])
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cls = [min(j for j in range(len(x)) if (x[j] == x[i]).all()) for i in range(len(x))]
+    near = y @ y.T >= 0.8
+    want = {(i, cls[i], cls.count(cls[i]), sum(near[i, c] for c in set(cls)) - 1) for i in range(len(x))}
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0.0, 0) for i, v in enumerate(x)], SCHEMA)
+    got = linked(df, 0.8, block=block).collect()
+    assert len(got) == len(x) and {tuple(r) for r in got} == want and any(r.links > 2 for r in got)
+
+
 def test_the_bound_loses_nothing_and_excludes_most():
     x = made(900, 48).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -43,3 +58,9 @@ def test_odd_rows(spark):
     got = near_pairs(spark.createDataFrame([(*r, 0, 0.0, 0) for r in rows], SCHEMA), 0.95).collect()
     assert sorted(tuple(r) for r in got) == [(1, 2, 1.0), (8, 11, 1.0)]
     assert near_pairs(spark.createDataFrame([], SCHEMA)).collect() == []
+    got = linked(spark.createDataFrame([(*r, 0, 0.0, 0) for r in rows], SCHEMA), 0.95).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, 1), (2, 2, 1, 1), (8, 8, 1, 1), (10, 10, 1, 0), (11, 11, 1, 1)]
+    # an id of two vectors that are near
+    got = linked(spark.createDataFrame([(1, v, 0, 0.0, 0) for v in ([1.0, 0.0], [2.0, 0.0])], SCHEMA), 0.95).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1, 1)] * 2
+    assert linked(spark.createDataFrame([], SCHEMA)).collect() == []
