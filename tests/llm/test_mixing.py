@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
-from postlake.llm.mixing import mixed, target_weights
+import numpy as np
+
+from postlake.llm.mixing import apportioned, mixed, target_weights
 
 DOCS = "doc_id bigint, text string, source string, block string, shard string"
 WEIGHTS = "source string, weight bigint, total string"
@@ -41,12 +43,39 @@ def test_blocks_are_equal_and_disjoint(spark):
         assert 0 <= r.first_token < r.end_token
         size[r.source, r.block] += r.end_token - r.first_token
         spans[r.doc_id].append((r.first_token, r.end_token))
-    assert set(size.values()) == {30}
+    last = {s: max(b for x, b in size if x == s) for s, _ in size}
+    assert all(n == 30 if b < last[s] else 0 < n <= 30 for (s, b), n in size.items())
     for x in spans.values():
         x.sort()
         assert all(a[1] <= b[0] for a, b in zip(x, x[1:]))
 
 
+def test_every_token_has_a_block(spark):
+    """The whole share takes all: short last blocks, and a source smaller than a block."""
+    rows, df = docs(spark, 60)
+    df = df.unionByName(spark.createDataFrame([(999, "just two", "tiny", "", "")], DOCS))
+    got = mixed(df, target_weights(df), block_tokens=37, shards=3, share=1.0).collect()
+    took = Counter()
+    for r in got:
+        took[r.doc_id] += r.end_token - r.first_token
+    assert took == Counter({i: len(t.split()) for i, t, *_ in rows} | {999: 2})
+
+
+def test_apportionment_is_the_greedy_rule():
+    r = random.Random(9)
+    for _ in range(300):
+        k = r.randint(1, 7)
+        w, n = np.array([r.choice([1, 2, 3, 7, 100]) for _ in range(k)], float), np.array([r.randint(1, 40) for _ in range(k)])
+        name, seats = r.sample([None, "a", "b", "c", "d", "e", "\u00e9"], k), r.randint(0, 150)
+        want = [0] * k
+        for _ in range(min(seats, n.sum())):
+            free = [i for i in range(k) if want[i] < n[i]]
+            want[min(free, key=lambda i: (-w[i] / (2 * want[i] + 1), name[i] is not None, name[i] or ""))] += 1
+        assert apportioned(w, name, n, seats).tolist() == want
+    # a source of half of all blocks is a number, not rows
+    assert apportioned(np.array([3.0, 1.0]), ["a", "b"], np.array([10**12, 10**12]), 10**9).tolist() == [750_000_000, 250_000_000]
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c", "x", "", ""), (1, "a b c", "x", "", ""), (2, None, "x", "", ""), (3, " \n", "x", "", ""), (None, "a b", "x", "", ""), (4, "w " * 30000, "y", "", ""), (5, "a b c", None, "", "")]
     weights = [("x", 1, ""), ("x", 1, ""), ("y", None, ""), (None, 1, ""), ("z", 4, "")]
