@@ -3,18 +3,23 @@
 Each labelled document is preferred (quality 1 and not toxic) or not; a preference pair is one of
 each. A linear score is fitted by logistic loss on the pair's feature difference, so that
 P(a beats b) = sigmoid(score(a) - score(b)). The threshold is a low quantile of the scores that
-held-out preferred documents reach: the score below which only ``loss_quantile`` of what should
-stay would fall. Documents below it are rejected.
+preferred documents outside the fit reach: the score below which at most ``loss_quantile`` of what
+should stay falls. Documents below it are rejected.
 
 Features: presence of hashed lower-case words, and the shape of the text (capitals, symbols,
-repetition, bars, digits, word length) in quantised steps. The sample is bounded: at most
-``sample`` labelled documents, chosen by a seeded hash of doc_id, half preferred and a quarter each
-of low quality and toxic. Scoring covers every document in whole.
-
-Defined results: a null text scores as the empty text; rows with a null doc_id are scored like any
-other; labels with null quality and toxic are ignored, a null of one counts as good; a document
-labelled more than once counts once a distinct label; without labels of both kinds nothing is
-rejected and every score is 0. An empty table gives no rows.
+repetition, bars, digits, word length) in quantised steps. Only the fit is bounded: at most
+``sample`` labelled documents, of those that a seeded hash of doc_id gives to it (one in two), half
+preferred and a quarter each of low quality and toxic; ``pairs`` preference pairs are drawn from
+them, and words of fewer than ``least`` sampled documents weigh nothing. The threshold is exact and comes
+from all preferred documents that the fit did not see; scoring covers every document in whole.
+
+Defined results: a null text scores as the empty text, and a very long one in whole; rows with a null
+doc_id are scored like any other; labels with null quality and toxic are ignored, a null of one counts
+as good; a document labelled more than once counts once a distinct label, and a doc_id that is repeated in
+the documents is fitted on its smallest text; equal scores are kept or rejected together, and a
+score at the threshold is kept; without labels of both kinds nothing is rejected and every score is 0;
+if every preferred document is in the fit, these give the threshold. An empty table gives no rows;
+further columns are ignored, and kept by ``kept``.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm import textvec as tv
-from postlake.llm.common import only
+from postlake.llm.common import only, settled
 
 BITS = 18
 SAMPLE = 12_000
@@ -63,15 +68,17 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     count = np.diff(wo)
     words = np.maximum(count, 1)
     upper, lower = share(_UPPER), share(_LOWER)
-    same = np.zeros(len(h) + 1)
-    same[1:] = np.cumsum(np.concatenate([[0], h[1:] == h[:-1]])[: len(h)])
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[wo[:-1][np.diff(wo) > 0]] = False  # not with another text's last word
+    same = np.concatenate([[0], np.cumsum(again)])
     shape = np.stack(
         [
             upper / np.maximum(upper + lower, 1),
             np.minimum(share(_SYMBOL) / size * 5, 1),
             np.minimum(share(_BAR) / words, 1),
             np.minimum(share(_DIGIT) / size * 4, 1),
-            np.maximum(same[wo[1:]] - same[wo[:-1]] - 1, 0) / words,
+            (same[wo[1:]] - same[wo[:-1]]) / words,
             np.bincount(who_u, minlength=n) / words * np.minimum(1, np.log2(words + 1) / 10),
             np.minimum(share(_LETTER) / words / 16, 1),
         ]
@@ -133,35 +140,78 @@ class Model:
         return np.round(c[fo[1:]] - c[fo[:-1]], 6)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss_quantile: float = LOSS_QUANTILE, seed: int = 7) -> Model:
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, kind): 0 preferred, 1 low quality, 2 toxic."""
     good = "coalesce(quality, 1) = 1 and coalesce(toxic, 0) = 0"
     kind = F.expr(f"case when {good} then 0 when coalesce(toxic, 0) = 1 then 2 else 1 end")
     known = only(labels, doc_id="doc_id", quality="quality", toxic="toxic").where("doc_id is not null and not (quality is null and toxic is null)")
-    known = known.select("doc_id", kind.alias("kind")).distinct()
+    return known.select(F.col("doc_id").cast("bigint").alias("doc_id"), kind.alias("kind")).distinct()
+
+
+def _chosen(known: DataFrame, sample: int, seed: int) -> DataFrame:
+    """The documents to fit on: at most ``sample``, and never more than those whose hash allows it."""
+    mine = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2)) == 0)
     order = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
-    shares = {0: sample // 2, 1: sample // 4, 2: sample // 4}
-    picks = [known.where(F.col("kind") == k).orderBy(*order).limit(n) for k, n in shares.items()]
-    chosen = picks[0].unionByName(picks[1]).unionByName(picks[2])
+    picks = [mine.where(F.col("kind") == k).orderBy(*order).limit(n) for k, n in ((0, sample // 2), (1, sample // 4), (2, sample // 4))]
+    return picks[0].unionByName(picks[1]).unionByName(picks[2])
+
+
+def _weights(docs: DataFrame, chosen: DataFrame) -> np.ndarray | None:
+    """The fitted weights; None without both kinds."""
     # the broadcast side holds at most ``sample`` rows of two integers, whatever the input's size
-    rows = only(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text")
+    rows = only(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(_feature_batches, "doc_id bigint, kind int, f array<int>").toArrow().sort_by([("doc_id", "ascending"), ("kind", "ascending")]).combine_chunks()
     kinds = got.column("kind").to_numpy()
-    lists = got.column("f").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat, offs = np.asarray(lists.flatten()), np.asarray(lists.offsets)
-    offs = offs - offs[0] if len(offs) else np.zeros(1, np.int64)
     if not ((kinds == 0).any() and (kinds != 0).any()):
-        return Model(np.zeros(_SHAPES * _STEPS + (1 << BITS)), -np.inf)
-    # the threshold comes from preferred rows that the weights have not seen
-    held = np.arange(len(kinds)) % 5 == 0
-    if (kinds[held] == 0).any() and (kinds[~held] == 0).any() and (kinds[~held] != 0).any():
-        keep = np.repeat(~held, np.diff(offs))
-        w, _ = fit(kinds[~held], flat[keep], np.concatenate([[0], np.cumsum(np.diff(offs)[~held])]))
-        c = np.concatenate([[0.0], np.cumsum(w[flat])])
-        scores = (c[offs[1:]] - c[offs[:-1]])[held & (kinds == 0)]
-    else:
-        w, every = fit(kinds, flat, offs)
-        scores = every[kinds == 0]
-    return Model(w, np.quantile(scores, loss_quantile) - 1e-6)
+        return None
+    lists = got.column("f").combine_chunks()
+    offs = np.asarray(lists.offsets)
+    return fit(kinds, np.asarray(lists.flatten()), offs - offs[0])[0]
+
+
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The value of ``score`` at rank floor(share * (n - 1)), exactly, over scores of six decimals. Two
+    counts: by hundredths, and by value within one hundredth, so at most 10,000 rows of it come here."""
+    steps = values.select(F.round(F.col("score") * 1_000_000).cast("bigint").alias("v")).withColumn("bin", F.expr("floor(v / 10000)"))
+    bins = sorted((r["bin"], r["count"]) for r in steps.groupBy("bin").count().collect())
+    if not bins:
+        return None
+    rank = int(share * (sum(n for _, n in bins) - 1))
+    for own, n in bins:
+        if rank < n:
+            break
+        rank -= n
+    for v, n in sorted((r["v"], r["count"]) for r in steps.where(F.col("bin") == own).groupBy("v").count().collect()):
+        if rank < n:
+            return v / 1_000_000
+        rank -= n
+    raise AssertionError("counts differ between two reads")
+
+
+def _trained(docs: DataFrame, labels: DataFrame, sample: int, loss_quantile: float, seed: int) -> tuple["Model", DataFrame | None]:
+    """The model, and the scores of all documents that its threshold was taken from."""
+    known = _labelled(labels)
+    chosen = _chosen(known, sample, seed)
+    w = _weights(docs, chosen)
+    if w is None:
+        return Model(np.zeros(_SHAPES * _STEPS + (1 << BITS)), -np.inf), None
+    scores = settled(scored(docs, Model(w, -np.inf)).select("doc_id", "score"))
+    good = known.where("kind = 0")
+    held = good.join(F.broadcast(chosen.where("kind = 0").select("doc_id")), "doc_id", "left_anti")
+    at = quantile(scores.join(held, "doc_id"), loss_quantile)
+    if at is None:
+        at = quantile(scores.join(good, "doc_id"), loss_quantile)
+    return Model(w, at - 5e-7), scores
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss_quantile: float = LOSS_QUANTILE, seed: int = 7) -> "Model":
+    return _trained(docs, labels, sample, loss_quantile, seed)[0]
+
+
+def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss_quantile: float = LOSS_QUANTILE, seed: int = 7) -> DataFrame:
+    """(doc_id, score, kept) of every document, trained on the labels; texts are scored once."""
+    model, scores = _trained(docs, labels, sample, loss_quantile, seed)
+    return scored(docs, model) if scores is None else scores.withColumn("kept", F.col("score") >= model.threshold)
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

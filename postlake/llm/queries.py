@@ -10,7 +10,7 @@ from postlake.llm import ctw, embedding_pairs, line_dedup, mixing, secrets, warc
 from postlake.llm.common import table
 from postlake.llm.decontaminate import contaminated
 from postlake.llm.passages import repeated_passages
-from postlake.llm.quality import scored, train
+from postlake.llm.quality import judged
 from postlake.llm.simhash_dups import near_duplicates
 
 
@@ -20,7 +20,7 @@ def op10_simhash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scored(docs, train(docs, table(spark, sf_dir, "labels"))).where("kept").select("doc_id", "score")
+    return judged(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id", "score")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

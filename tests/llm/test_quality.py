@@ -1,6 +1,13 @@
+import math
 import random
+import re
 
-from postlake.llm.quality import kept, scored, train
+import numpy as np
+import pytest
+
+from postlake.llm import quality
+from postlake.llm import textvec as tv
+from postlake.llm.quality import judged, kept, quantile, scored, train
 
 DOCS = "doc_id bigint, text string, kept string, score string"
 LABELS = "doc_id bigint, quality int, toxic int, text string"
@@ -55,3 +62,81 @@ def test_no_labels_rejects_nothing(spark):
     for labels in ([], [(1, 1, 0, "")], [(1, 0, 0, "")]):
         model = train(docs, spark.createDataFrame(labels, LABELS))
         assert sorted(tuple(r) for r in scored(docs, model).collect()) == [(1, 0.0, True), (2, 0.0, True)]
+
+
+def slow_features(text):
+    """The features of one text, by their definition."""
+    raw = text.encode()
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+    named = {(int(tv.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) >> (64 - quality.BITS)) + 7 * 24 for w in words}
+    n = max(len(words), 1)
+    upper, lower = len(re.findall(rb"[A-Z]", raw)), len(re.findall(rb"[a-z]", raw))
+    shapes = [
+        upper / max(upper + lower, 1), min(5 * len(re.findall(rb"[^0-9A-Za-z\x80-\xff \t\n\r\v\f.,]", raw)) / max(len(raw), 1), 1), min(raw.count(b"|") / n, 1),
+        min(4 * len(re.findall(rb"[0-9]", raw)) / max(len(raw), 1), 1), sum(a == b for a, b in zip(words, words[1:])) / n, len(named) / n * min(1, math.log2(len(words) + 1 if words else 2) / 10),
+        min(len(re.findall(rb"[A-Za-z\x80-\xff]", raw)) / n / 16, 1),
+    ]
+    return named | {24 * k + min(int(math.sqrt(min(max(x, 0), 1)) * 23), 23) for k, x in enumerate(shapes)}
+
+
+def slow_fit(kinds, sets, rounds=1000, pairs=60_000):
+    """Gradient steps over a dense matrix."""
+    names = sorted({f for s in sets for f in s if sum(f in x for x in sets) >= 12})
+    x = np.array([[f in s for f in names] for s in sets], float)
+    rng = np.random.default_rng(7)
+    good, bad = [k for k, y in enumerate(kinds) if y == 0], [k for k, y in enumerate(kinds) if y]
+    a, b = rng.choice(good, pairs), rng.choice(bad, pairs)
+    count = np.zeros((len(kinds), len(kinds)))
+    np.add.at(count, (a, b), 1 / pairs)
+    v, m, q, word = np.zeros(len(names)), 0, 0, np.array(names) >= 7 * 24
+    for t in range(1, rounds + 1):
+        s = x @ v
+        slope = -count / (1 + np.exp(np.clip(s[:, None] - s[None], -30, 30)))
+        g = x.T @ (slope.sum(1) - slope.sum(0)) + np.where(word, 1e-4 * np.sign(v), 3e-4 * v)
+        m, q = 0.9 * m + 0.1 * g, 0.99 * q + 0.01 * g**2
+        v = v - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.99**t)) + 1e-4)
+        if t > rounds // 2:
+            v[word & (np.abs(v) < 0.15)] = 0
+    return dict(zip(names, v))
+
+
+def test_against_brute_force(spark):
+    docs, labels = planted(260, 6)
+    docs += [(700, "", "", ""), (701, None, "", ""), (702, "Stone stone stone | 12 !!", "", ""), (703, "river\u00e9 " * 3000, "", ""), docs[4], (None, docs[5][1], "", "")]
+    labels += [(702, 0, 0, ""), (703, 1, 0, "")]
+    lab = spark.createDataFrame(labels, LABELS)
+    chosen = sorted((r.doc_id, r.kind) for r in quality._chosen(quality._labelled(lab), quality.SAMPLE, 7).collect())
+    text = {d: t or "" for d, t, *_ in docs}
+    sets = {d: slow_features(t) for d, t in text.items()}
+    w = slow_fit([k for _, k in chosen], [sets[d] for d, _ in chosen])
+    score = {d: sum(w.get(f, 0) for f in s) for d, s in sets.items()}
+    fitted = {d for d, _ in chosen}
+    held = sorted(score[d] for d, q, t, _ in labels if q == 1 and t == 0 and d not in fitted)
+    least = held[int(0.005 * (len(held) - 1))]
+    got = judged(spark.createDataFrame(docs, DOCS), lab).collect()
+    assert len(got) == len(docs) and 20 < len(held) and any(not r.kept for r in got)
+    for r in got:
+        assert abs(r.score - score[r.doc_id]) < 1e-3
+        if abs(score[r.doc_id] - least) > 2e-3 or score[r.doc_id] == least:
+            assert r.kept == (score[r.doc_id] >= least)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.005, 0.5, 1.0])
+def test_quantile(spark, share):
+    r = random.Random(2)
+    x = [round(r.choice([r.gauss(0, 3), 1.25, -7.000001]), 6) for _ in range(700)]
+    assert quantile(spark.createDataFrame([(v,) for v in x], "score double"), share) == sorted(x)[int(share * 699)]
+    assert quantile(spark.createDataFrame([], "score double"), share) is None
+
+
+def test_score_does_not_depend_on_the_neighbours():
+    """The first word of a text may equal the last of the text before it in the batch."""
+    one = np.frombuffer(b"one twotwo", np.uint8)
+    assert set(quality.features(one, np.array([0, 7, 10]))[0][-8:]) >= set(slow_features("two")) and set(quality.features(np.frombuffer(b"two", np.uint8), np.array([0, 3]))[0]) == slow_features("two")
+
+
+def test_ties_at_the_threshold_stay_together(spark):
+    docs, labels = planted(200, 8)
+    docs += [(1000 + i, docs[0][1], "", "") for i in range(30)]
+    got = judged(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    assert len({(r.score, r.kept) for r in got if r.doc_id == 0 or r.doc_id >= 1000}) == 1
