@@ -16,7 +16,11 @@ place goes, however often it is repeated. For the rest:
 3. Jaccard is verified on the token hashes themselves. One earlier match is enough, so each set's
    likeliest candidate is verified first; all the others follow for sets that are still unmatched.
 
-Defined results: null texts have no line; lines without letters or digits match nothing and stay; a
+Sizes: how many buckets the prefix entries go to follows from the counted tokens. The rarity counters
+and the map of wanted sets are of a fixed size; beyond some 10**8 wanted sets the map lets most sets
+through, and the join behind it drops them: that costs a larger shuffle and changes no result.
+
+Defined results: null texts have no line; a text or line of any length is read in whole; lines without letters or digits match nothing and stay; a
 null doc_id takes no part and its row stays as it is; rows with equal doc_id count as one document:
 where they have the same set at the same line number, each keeps or loses it; an empty table gives
 no rows; further columns are kept by ``without_lines`` and ignored elsewhere.
@@ -34,13 +38,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm import textvec as tv
-from postlake.llm.common import only, parts, settled
+from postlake.llm.common import only, settled
 
 NUM, DEN = 4, 5
 _COUNTER_BITS = 20
 _SLICES = 32
 _ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("sig", "<i8"), ("p0", "<u8"), ("p1", "<u8")])
 _PAIRS = 1 << 21
+#: Bytes of prefix entries a bucket.
+BUCKET = 1 << 24
 _MAP_SLICES, _MAP_BITS = 6, 21
 
 
@@ -213,14 +219,26 @@ def _token_batches(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(sig[one]), pa.array([g[lo[k] : lo[k + 1]].tobytes() for k in one], pa.binary())], ["sig", "tokens"])
 
 
+def common(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each a, of each b, tokens in both) of two columns of packed token sets."""
+    flat, own, size = [], [], []
+    for col in (a, b):
+        data, offs = tv.raw(col)
+        size.append(np.diff(offs) // 8)
+        flat.append(np.frombuffer(data.tobytes(), tv.U))
+        own.append(np.repeat(np.arange(len(col)), size[-1]))
+    token, pair = np.concatenate(flat), np.concatenate(own)
+    order = np.lexsort((token, pair))
+    token, pair = token[order], pair[order]
+    # a set has a token once, so equal neighbours are one of each
+    both = np.flatnonzero((token[1:] == token[:-1]) & (pair[1:] == pair[:-1]))
+    return size[0], size[1], np.bincount(pair[both], minlength=len(a))
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = []
-        for a, b in zip(batch.column("ty"), batch.column("tx")):
-            a, b = np.frombuffer(a.as_buffer(), tv.U), np.frombuffer(b.as_buffer(), tv.U)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            ok.append((num + den) * both >= num * (len(a) + len(b)))
-        yield pa.RecordBatch.from_arrays([batch.column("y").filter(pa.array(ok, pa.bool_()))], ["y"])
+        n, m, both = common(batch.column("ty"), batch.column("tx"))
+        yield pa.RecordBatch.from_arrays([batch.column("y").filter(pa.array((num + den) * both >= num * (n + m)))], ["y"])
 
 
 def _token_sets(pairs: DataFrame, src: DataFrame) -> DataFrame:
@@ -253,8 +271,12 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     places = settled(src.mapInArrow(_place_batches, "slice int, counts binary, sig bigint, doc bigint, line int"))
     counts = places.where("slice >= 0").select("slice", "counts").groupBy("slice").applyInArrow(_add_up, "slice int, counts binary")
     # 2**20 counters, of a size that doesn't depend on the input
-    rank = spark.sparkContext.broadcast(ranks([(r.slice, bytes(r.counts)) for r in counts.collect()]))
-    buckets = 4 * parts(spark)
+    tokens_seen = counts.collect()
+    rank = spark.sparkContext.broadcast(ranks([(r.slice, bytes(r.counts)) for r in tokens_seen]))
+    # a set's prefix has at most a fifth of its tokens and one more at the production threshold; most have a token
+    # or two, so twice that is close to the entries: a bucket holds about BUCKET bytes of them at every size
+    total = sum(int(np.frombuffer(bytes(r.counts), "<i8").sum()) for r in tokens_seen)
+    buckets = int(2 * (1 - num / den) * total * _ENTRY.itemsize) // BUCKET + 1
     entries = src.select("text").mapInArrow(partial(_entry_batches, rank=rank, buckets=buckets, num=num, den=den), "bucket bigint, packed binary")
     pairs = entries.groupBy("bucket").applyInArrow(lambda group: _meet(group, num, den), "a bigint, b bigint, apart int")
     # one shuffle by a serves the distinct pairs and the join
