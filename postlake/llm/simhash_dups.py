@@ -4,19 +4,21 @@ A document's fingerprint has ``BLOCKS`` words of ``WIDTH`` bits: bit b is the si
 the document's distinct words, of +1 or -1 by bit b of the word's hash. Two fingerprints are near when
 they differ in at most ``radius_share`` of their bits.
 
-Search: each block is a fingerprint of its own with radius 2. It emits all 29 variants within half
+Search: each block is a fingerprint of its own with radius 2. It emits all 33 variants within half
 that radius (itself and each single flip); two blocks at distance 2 or less share a variant, so the
 shuffle on (block number, variant) brings them together. A pair meets if any block is that close.
 Colliding sets are deduplicated and verified on the whole fingerprint; the verified pairs' connected
 components are the groups.
 
-Guarantee: any pair at Hamming distance up to 3*BLOCKS-1 = 41 is found for sure (pigeonhole). Beyond,
-up to the verified radius of 61, a pair is met with a chance that falls to 0.92 at the radius itself;
-the tests hold both, by distance. A ball of half of 61 around a whole fingerprint of 392 bits has
-more members than there are documents, so the whole radius can't be covered for sure.
+Guarantee: any pair at Hamming distance up to 3*BLOCKS-1 = 59 is found for sure (pigeonhole). Beyond,
+up to the verified radius of 96, a pair is met with a chance that falls to 0.93 at the radius itself;
+the tests hold both, by distance. A ball of half of 96 around a whole fingerprint of 640 bits has
+more members than there are documents, so the whole radius can't be covered for sure. Blocks are as
+wide as they are because documents of one language share bits: narrower ones collide without being near.
 
-Sizes: how many buckets the variants go to follows from the counted fingerprints, so a bucket holds
-about ``BUCKET`` bytes at every size. In a set, a family of mutually near fingerprints is joined from
+Sizes: variants are shuffled by block number and first bits; how many bits follows from the counted
+fingerprints, so a bucket holds about ``BUCKET`` bytes of variants at every size. Variants that share
+these bits are made from their block where they meet, and don't travel one by one. In a set, a family of mutually near fingerprints is joined from
 its first member on, each step against what isn't joined yet, and not by all its pairs.
 
 Defined results: a null or wordless text has no fingerprint and joins no group; a null doc_id is
@@ -39,8 +41,8 @@ from pyspark.sql import functions as F
 from postlake.llm import textvec as tv
 from postlake.llm.common import only, settled
 
-BLOCKS, WIDTH = 14, 28
-RADIUS_SHARE = 0.156
+BLOCKS, WIDTH = 20, 32
+RADIUS_SHARE = 0.15
 #: Bytes of variants a bucket.
 BUCKET = 1 << 25
 _ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
@@ -98,40 +100,44 @@ def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return src.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(partial(_fingerprint_batches, blocks=blocks), "doc_id bigint, fp binary")
 
 
-def _ball_batches(batches: Iterator[pa.RecordBatch], blocks: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Emits each block's variants; a block has ``buckets`` buckets of its own. Variants of one batch
-    for one bucket travel as one value: at worst a value holds a single variant, so this is never
-    more rows than one a variant."""
-    flips = np.concatenate([[0], 1 << np.arange(WIDTH)]).astype(np.uint32)
+def _ball_batches(batches: Iterator[pa.RecordBatch], blocks: int, cut: int) -> Iterator[pa.RecordBatch]:
+    """Sends each block to every bucket that holds one of its variants. A bucket is a block number
+    and a variant's first ``cut`` bits: the flips of the other bits are in the block's own bucket and
+    are made there, so a block travels once for all of these, and once for each of the first bits.
+    Blocks of one batch for one bucket travel as one value."""
+    own = np.array([0, *(1 << np.arange(cut))], np.uint32)
     for batch in batches:
         if not len(batch):
             continue
         ids = batch.column(0).to_numpy()
         fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, blocks)
-        for a in range(0, len(ids), 8192):
-            sub, own = fp[a : a + 8192], ids[a : a + 8192]
-            for k in range(blocks):
-                keys = (sub[:, k : k + 1] ^ flips).ravel()
-                e = np.empty(len(keys), _ENTRY)
-                e["key"], e["id"] = keys, np.repeat(own, len(flips))
-                if buckets == 1:
-                    to, cut, ends = np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(e)])
-                else:
-                    to = (tv.mix(keys.astype(tv.U)) % tv.U(buckets)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    e, to = e[order], to[order]
-                    cut = np.flatnonzero(np.diff(to, prepend=-1))
-                    ends = np.append(cut[1:], len(to))
-                packed = pa.array([e[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(to[cut] + k * buckets), packed], ["bucket", "packed"])
-
-
-def _collide(group):
+        for k in range(blocks):
+            e = np.empty(len(ids) * len(own), _ENTRY)
+            e["key"], e["id"] = np.repeat(fp[:, k], len(own)), np.repeat(ids, len(own))
+            to = ((fp[:, k : k + 1] >> np.uint32(WIDTH - cut)) ^ own).ravel().astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            e, to = e[order], to[order]
+            at = np.flatnonzero(np.diff(to, prepend=-1))
+            packed = pa.array([e[x:y].tobytes() for x, y in zip(at, np.append(at[1:], len(to)))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(to[at] + (k << cut)), packed], ["bucket", "packed"])
+
+
+def _variants(e: np.ndarray, bucket: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """(variant, id) of what a bucket was sent: all variants within half the radius that lie in it."""
+    low, mine = WIDTH - cut, np.uint32(bucket & ((1 << cut) - 1))
+    flips = np.array([0, *(1 << np.arange(low))], np.uint32)
+    inside = e["key"] >> np.uint32(low) == mine
+    key = (e["key"][inside][:, None] ^ flips).ravel()
+    other = (e["key"][~inside] & np.uint32((1 << low) - 1)) | (mine << np.uint32(low))
+    return np.concatenate([key, other]), np.concatenate([np.repeat(e["id"][inside], len(flips)), e["id"][~inside]])
+
+
+def _collide(group, cut: int):
     """The sets of documents that share a variant, each once in this bucket (pa.Table to pa.Table)."""
     e = np.frombuffer(b"".join(group.column(1).to_pylist()), _ENTRY)
-    key = e["key"]
+    key, ids = _variants(e, group.column(0)[0].as_py(), cut)
     order = np.argsort(key)
-    key, ids = key[order], e["id"][order]
+    key, ids = key[order], ids[order]
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[1:] == key[:-1]
     hit = same[:-1] | same[1:]
@@ -230,9 +236,10 @@ def grouped(fingerprints_: DataFrame, blocks: int = BLOCKS, radius_share: float
     """The same from (doc_id, fp)."""
     fps = settled(fingerprints_)
     reps = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count_distinct("doc_id").alias("n")))
-    buckets = -(-reps.count() * (WIDTH + 1) * _ENTRY.itemsize // bucket_bytes) or 1
-    balls = reps.select("id", "fp").mapInArrow(partial(_ball_batches, blocks=blocks, buckets=buckets), "bucket bigint, packed binary")
-    sets = balls.groupBy("bucket").applyInArrow(_collide, "sig bigint, ids array<bigint>").dropDuplicates(["sig"])
+    size = reps.count() * (WIDTH + 1) * _ENTRY.itemsize
+    cut = min(WIDTH, (-(-size // bucket_bytes) or 1).bit_length())
+    balls = reps.select("id", "fp").mapInArrow(partial(_ball_batches, blocks=blocks, cut=cut), "bucket bigint, packed binary")
+    sets = balls.groupBy("bucket").applyInArrow(lambda group: _collide(group, cut), "sig bigint, ids array<bigint>").dropDuplicates(["sig"])
     held = sets.select("sig", F.explode("ids").alias("id")).join(reps.select("id", "fp"), "id").groupBy("sig").agg(F.collect_list(F.struct("id", "fp")).alias("members"))
     edges = held.select("members").mapInArrow(partial(_verify_batches, radius=int(radius_share * WIDTH * blocks)), "src bigint, dst bigint")
     comp = connected(edges)

@@ -94,7 +94,7 @@ def test_recall_by_distance(spark):
         wide[:, :WIDTH] = x.reshape(BLOCKS, WIDTH)
         return np.packbits(wide, bitorder="little").tobytes()
 
-    rows, steps = [], ((3 * BLOCKS - 1, 1.0), (50, 0.97), (RADIUS, 0.9), (RADIUS + 1, None))
+    rows, steps = [], ((3 * BLOCKS - 1, 1.0), (75, 0.97), (RADIUS, 0.9), (RADIUS + 1, None))
     for distance, _ in steps:
         for _ in range(n):
             x = r.integers(0, 2, bits)
