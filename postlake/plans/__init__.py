@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.plans import core
+from postlake.plans import core, more  # noqa: F401 - registers its queries with core
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,10 @@ _ITEMS = tw.with_(tw.NBT, tw.FOLDERS, tw.MESSAGES)
 SELECT f.folder_key, f.folder_path, count(i.s) AS item_count, count(*) FILTER (s LIKE 'routed_%') AS emitted_count, count(*) FILTER (s LIKE 'filtered_%') AS filtered_count, count(*) FILTER (s LIKE 'skipped_%') AS skipped_count,
  count(*) FILTER (s LIKE 'unavailable_%') AS unavailable_count, count(*) FILTER (s LIKE 'failed_%') AS failed_count FROM folders f LEFT JOIN i ON i.folder_key = f.folder_key GROUP BY f.folder_key, f.folder_path""")
 def routing_counts(spark, d):
-    m = dr.messages(spark, d)
-    items = m.select(F.lit("item").alias("record_kind"), F.col("folder_key").alias("parent_envelope_key"), "folder_path", routing.routing_status(routing.item_kind(F.col("message_class")), F.col("visibility")).alias("routing_status"))
+    # kind and status are columns of their own, or each count would work them out again
+    m = dr.messages(spark, d).withColumn("item_kind", routing.item_kind(F.col("message_class")))
+    m = m.withColumn("routing_status", routing.routing_status(F.col("item_kind"), F.col("visibility")))
+    items = m.select(F.lit("item").alias("record_kind"), F.col("folder_key").alias("parent_envelope_key"), "folder_path", "routing_status")
     return routing.routing_counts(dr.folders(spark, d), items)
 
 
