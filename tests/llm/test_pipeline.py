@@ -28,7 +28,7 @@ def fixture(spark, folder):
         words = [f"good{(i * 131 + k * 17) % 900} calm{i}" if k % 2 else f"words{k} {i}tail" for k in range(60)]
         lines = [words[k : k + 6] for k in range(0, 60, 6)]
         docs.append((320 + i, "\n".join(" ".join(x) for x in lines), "en", "web", 0))
-        near = [[*x[:4], f"other{i} new{k}", f"else{k} more{i}"] if k in (1, 4, 8) else x for k, x in enumerate(lines)]
+        near = [[*x[:5], f"other{i} new{k}"] if k in (1, 4, 8) else x for k, x in enumerate(lines)]
         docs.append((340 + i, "\n".join(" ".join(x) for x in near), "en", "books", 0))
     docs += [(350, " ".join(f"good{k % 37} calm words long{k}" for k in range(15_000)), "en", "web", 0), docs[3]]
     docs += [(400, None, None, None, None), (401, "", "en", "web", 0), (None, "no id here", "en", "web", 0)]
