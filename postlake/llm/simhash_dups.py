@@ -7,8 +7,9 @@ they differ in at most ``radius_share`` of their bits.
 Search: each block is a fingerprint of its own with radius 2. It emits all 33 variants within half
 that radius (itself and each single flip); two blocks at distance 2 or less share a variant, so the
 shuffle on (block number, variant) brings them together. A pair meets if any block is that close.
-Colliding sets are deduplicated and verified on the whole fingerprint; the verified pairs' connected
-components are the groups.
+Before that each document is held against the first one with an equal block, and what is connected
+has one label. A set of one label adds nothing and ends where it is found; across labels all is
+verified on the whole fingerprint. The verified pairs' connected components are the groups.
 
 Guarantee: any pair at Hamming distance up to 3*BLOCKS-1 = 59 is found for sure (pigeonhole). Beyond,
 up to the verified radius of 96, a pair is met with a chance that falls to 0.93 at the radius itself;
@@ -18,8 +19,11 @@ wide as they are because documents of one language share bits: narrower ones col
 
 Sizes: variants are shuffled by block number and first bits; how many bits follows from the counted
 fingerprints, so a bucket holds about ``BUCKET`` bytes of variants at every size. Variants that share
-these bits are made from their block where they meet, and don't travel one by one. In a set, a family of mutually near fingerprints is joined from
-its first member on, each step against what isn't joined yet, and not by all its pairs.
+these bits are made from their block where they meet, and don't travel one by one. Documents with one
+block and one label are one class there. A set goes on as its pairs across labels where these are few
+(a large family and a stranger), else as a whole, a row a member, in buckets of counted size. In a set,
+a family of mutually near fingerprints is joined from its first member on, each step against what isn't
+joined yet, and not by all its pairs.
 
 Defined results: a null or wordless text has no fingerprint and joins no group; a null doc_id is
 ignored; a doc_id that is repeated counts once (under each text it has); documents with equal
@@ -45,7 +49,9 @@ BLOCKS, WIDTH = 20, 32
 RADIUS_SHARE = 0.15
 #: Bytes of variants a bucket.
 BUCKET = 1 << 25
-_ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
+#: Pairs a member, up to which a set that shares a variant goes on as pairs.
+FEW = 4
+_ENTRY = np.dtype([("key", "<u4"), ("label", "<i8"), ("id", "<i8")])
 
 
 def _unique_words(h: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,20 +106,20 @@ def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return src.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(partial(_fingerprint_batches, blocks=blocks), "doc_id bigint, fp binary")
 
 
-def _ball_batches(batches: Iterator[pa.RecordBatch], blocks: int, cut: int) -> Iterator[pa.RecordBatch]:
+def _ball_batches(batches: Iterator[pa.RecordBatch], blocks: int, cut: int, flips: bool = True) -> Iterator[pa.RecordBatch]:
     """Sends each block to every bucket that holds one of its variants. A bucket is a block number
     and a variant's first ``cut`` bits: the flips of the other bits are in the block's own bucket and
-    are made there, so a block travels once for all of these, and once for each of the first bits.
-    Blocks of one batch for one bucket travel as one value."""
-    own = np.array([0, *(1 << np.arange(cut))], np.uint32)
+    are made there, so a block travels once for all of these, and once for each of the first bits
+    (without ``flips`` not for these). Blocks of one batch for one bucket travel as one value."""
+    own = np.array([0, *(1 << np.arange(cut if flips else 0))], np.uint32)
     for batch in batches:
         if not len(batch):
             continue
-        ids = batch.column(0).to_numpy()
+        ids, labels = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, blocks)
         for k in range(blocks):
             e = np.empty(len(ids) * len(own), _ENTRY)
-            e["key"], e["id"] = np.repeat(fp[:, k], len(own)), np.repeat(ids, len(own))
+            e["key"], e["id"], e["label"] = np.repeat(fp[:, k], len(own)), np.repeat(ids, len(own)), np.repeat(labels, len(own))
             to = ((fp[:, k : k + 1] >> np.uint32(WIDTH - cut)) ^ own).ravel().astype(np.int64)
             order = np.argsort(to, kind="stable")
             e, to = e[order], to[order]
@@ -122,37 +128,93 @@ def _ball_batches(batches: Iterator[pa.RecordBatch], blocks: int, cut: int) -> I
             yield pa.RecordBatch.from_arrays([pa.array(to[at] + (k << cut)), packed], ["bucket", "packed"])
 
 
-def _variants(e: np.ndarray, bucket: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
-    """(variant, id) of what a bucket was sent: all variants within half the radius that lie in it."""
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins, in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows of the columns, sorted by the first, then the second and so on."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    at = _starts(*columns)
+    return [c[at] for c in columns]
+
+
+def _entries(group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, label, id) of what a bucket was sent."""
+    e = np.frombuffer(b"".join(group.column(1).to_pylist()), _ENTRY)
+    return tuple(_distinct(*(np.ascontiguousarray(e[x]) for x in ("key", "label", "id"))))
+
+
+def _lead(group):
+    """(src, dst): each document of a bucket with the first one that has the same block."""
+    key, _, ids = _entries(group)  # a document is its own label here
+    first = _starts(key)
+    lead = np.repeat(ids[first], np.diff(np.append(first, len(key))))
+    other = ids != lead
+    return pa.table([pa.array(x) for x in _distinct(ids[other], lead[other])], ["src", "dst"])
+
+
+def _variants(key: np.ndarray, bucket: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """(variant, which key) of what a bucket was sent: all variants within half the radius that lie in it."""
     low, mine = WIDTH - cut, np.uint32(bucket & ((1 << cut) - 1))
     flips = np.array([0, *(1 << np.arange(low))], np.uint32)
-    inside = e["key"] >> np.uint32(low) == mine
-    key = (e["key"][inside][:, None] ^ flips).ravel()
-    other = (e["key"][~inside] & np.uint32((1 << low) - 1)) | (mine << np.uint32(low))
-    return np.concatenate([key, other]), np.concatenate([np.repeat(e["id"][inside], len(flips)), e["id"][~inside]])
+    inside = key >> np.uint32(low) == mine
+    other = (key[~inside] & np.uint32((1 << low) - 1)) | (mine << np.uint32(low))
+    return np.concatenate([(key[inside][:, None] ^ flips).ravel(), other]), np.concatenate([np.repeat(np.flatnonzero(inside), len(flips)), np.flatnonzero(~inside)])
 
 
 def _collide(group, cut: int):
-    """The sets of documents that share a variant, each once in this bucket (pa.Table to pa.Table)."""
-    e = np.frombuffer(b"".join(group.column(1).to_pylist()), _ENTRY)
-    key, ids = _variants(e, group.column(0)[0].as_py(), cut)
-    order = np.argsort(key)
-    key, ids = key[order], ids[order]
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[1:] == key[:-1]
-    hit = same[:-1] | same[1:]
-    key, ids = key[hit], ids[hit]
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    ends = np.append(cut[1:], len(key))
-    # a set's signature: equal sets of one bucket go out once
-    mixed = np.concatenate([np.zeros(1, tv.U), np.cumsum(tv.mix(ids.astype(tv.U) + tv.U(1)), dtype=tv.U)])
-    sig = tv.mix((mixed[ends] - mixed[cut]) + (ends - cut).astype(tv.U))
-    _, first = np.unique(sig, return_index=True)
-    size = ends[first] - cut[first]
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids[tv.ranges(cut[first], size)]))
-    return pa.table([pa.array(sig[first].view(np.int64)), lists], ["sig", "ids"])
+    """The documents of a bucket that share a variant and not all the label: as pairs (src, dst) of
+    different labels where these are few for the set's size, else as whole sets (a signature as src,
+    ids), each once in this bucket. The documents of one block and one label are one class, which
+    makes its variants once."""
+    key, label, ids = _entries(group)
+    first = _starts(key, label)
+    n = np.diff(np.append(first, len(ids)))
+    label = label[first]
+    v, c = _variants(key[first], group.column(0)[0].as_py(), cut)
+    order = np.lexsort((c, label[c], v))
+    v, c = v[order], c[order]
+    begin = _starts(v)
+    end = np.append(begin[1:], len(v))
+    # equal sets of classes are looked at once, those of one label not at all
+    mixed = np.concatenate([np.zeros(1, tv.U), np.cumsum(tv.mix(c.astype(tv.U) + tv.U(1)), dtype=tv.U)])
+    sig = tv.mix((mixed[end] - mixed[begin]) + (end - begin).astype(tv.U))
+    keep = np.unique(sig, return_index=True)[1]
+    keep = keep[label[c[begin[keep]]] != label[c[end[keep] - 1]]]
+    begin, end = begin[keep], end[keep]
+    # members of each set, and pairs of them across labels
+    total = np.concatenate([[0], np.cumsum(n[c])])
+    part = _starts(v, label[c])
+    a, b = np.searchsorted(part, begin), np.searchsorted(part, end)
+    width = np.diff(np.append(total[part], total[-1])).astype(np.float64)
+    size = total[end] - total[begin]
+    cross = (size.astype(np.float64) ** 2 - np.array([np.sum(width[x:y] ** 2) for x, y in zip(a, b)])) / 2
+    few = cross <= FEW * size
+    two = few & (end - begin == 2)
+    left, right = [c[begin[two]]], [c[begin[two] + 1]]
+    for k in np.flatnonzero(few & ~two):
+        edge = np.append(part[a[k] : b[k]], end[k])
+        for x, y in zip(edge[1:-1], edge[2:]):  # each label with those before it
+            left.append(np.tile(c[begin[k] : x], y - x))
+            right.append(np.repeat(c[x:y], x - begin[k]))
+    left, right = np.concatenate(left), np.concatenate(right)
+    left, right = _distinct(np.minimum(left, right), np.maximum(left, right))
+    count = n[left] * n[right]
+    k = np.repeat(np.arange(len(left)), count)
+    at = tv.ranges(np.zeros(len(left), np.int64), count)
+    src, dst = ids[first[left[k]] + at // n[right[k]]], ids[first[right[k]] + at % n[right[k]]]
+    src, dst = _distinct(np.maximum(src, dst), np.minimum(src, dst))
+    sets = [np.unique(ids[tv.ranges(first[c[x:y]], n[c[x:y]])]) for x, y in zip(begin[~few], end[~few])]
+    sigs = np.array([np.sum(tv.mix(x.astype(tv.U) + tv.U(1)), dtype=tv.U) + tv.U(len(x)) for x in sets], tv.U)
+    lists = pa.array([None] * len(src) + sets, pa.list_(pa.int64()))
+    return pa.table([pa.array(np.concatenate([src, tv.mix(sigs).view(np.int64)])), pa.concat_arrays([pa.array(dst), pa.nulls(len(sets), pa.int64())]), lists], ["src", "dst", "ids"])
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,27 +238,28 @@ def families(part: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Of each set, edges that join what is connected by verified pairs."""
+def _verify_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their fingerprints, those within the radius."""
     for batch in batches:
-        col = batch.column(0)
-        off = np.asarray(col.offsets)
-        flat = col.values
-        ids = flat.field(0).to_numpy()
-        width = len(flat.field(1)[0].as_py()) if len(flat) else 4
-        fp = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint64 if width % 8 == 0 else np.uint32)
-        fp = fp.reshape(-1, width // fp.itemsize)
-        size = np.diff(off)
-        two = off[:-1][size == 2]
-        ok = near(fp[two], fp[two + 1]) <= radius
-        src, dst = [ids[two[ok]]], [ids[two[ok] + 1]]
-        for k in np.flatnonzero(size > 2):
-            s, e = off[k], off[k + 1]
-            label = families(fp[s:e], radius)
-            move = np.flatnonzero(label != np.arange(e - s))
-            src.append(ids[s:e][move])
-            dst.append(ids[s:e][label[move]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+        if len(batch):
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(len(batch), -1) for k in (2, 3))
+            yield batch.select(["src", "dst"]).filter(pa.array(near(a, b) <= radius))
+
+
+def _verify_sets(group, radius: int):
+    """Of the sets of a bucket, a row a member, edges that join what is connected by verified pairs."""
+    sig, ids = group.column(1).to_numpy(), group.column(2).to_numpy()
+    fp = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint32).reshape(len(ids), -1)
+    order = np.lexsort((ids, sig))
+    begin = _starts(sig[order])
+    src, dst = [], []
+    for x, y in zip(begin, np.append(begin[1:], len(order))):
+        own = order[x:y]
+        label = families(fp[own], radius)
+        move = np.flatnonzero(label != np.arange(y - x))
+        src.append(ids[own][move])
+        dst.append(ids[own][label[move]])
+    return pa.table([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
 
 def connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -238,10 +301,26 @@ def grouped(fingerprints_: DataFrame, blocks: int = BLOCKS, radius_share: float
     reps = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count_distinct("doc_id").alias("n")))
     size = reps.count() * (WIDTH + 1) * _ENTRY.itemsize
     cut = min(WIDTH, (-(-size // bucket_bytes) or 1).bit_length())
-    balls = reps.select("id", "fp").mapInArrow(partial(_ball_batches, blocks=blocks, cut=cut), "bucket bigint, packed binary")
-    sets = balls.groupBy("bucket").applyInArrow(lambda group: _collide(group, cut), "sig bigint, ids array<bigint>").dropDuplicates(["sig"])
-    held = sets.select("sig", F.explode("ids").alias("id")).join(reps.select("id", "fp"), "id").groupBy("sig").agg(F.collect_list(F.struct("id", "fp")).alias("members"))
-    edges = held.select("members").mapInArrow(partial(_verify_batches, radius=int(radius_share * WIDTH * blocks)), "src bigint, dst bigint")
-    comp = connected(edges)
+    radius = int(radius_share * WIDTH * blocks)
+    fp_of = reps.select("id", "fp")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(fp_of.toDF("src", "a"), "src").join(fp_of.toDF("dst", "b"), "dst")
+        return both.select("src", "dst", "a", "b").mapInArrow(partial(_verify_pairs, radius=radius), "src bigint, dst bigint")
+
+    # each document with the first of an equal block: from here on a large family has one label
+    balls = fp_of.withColumn("label", F.col("id")).mapInArrow(partial(_ball_batches, blocks=blocks, cut=cut, flips=False), "bucket bigint, packed binary")
+    first = connected(verified(balls.groupBy("bucket").applyInArrow(_lead, "src bigint, dst bigint")))
+    labelled = fp_of.join(first, fp_of["id"] == first["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("label"))
+    balls = labelled.mapInArrow(partial(_ball_batches, blocks=blocks, cut=cut), "bucket bigint, packed binary")
+    met = settled(balls.groupBy("bucket").applyInArrow(lambda group: _collide(group, cut), "src bigint, dst bigint, ids array<bigint>"))
+    across = verified(met.where("ids is null").select("src", "dst"))
+    # what goes on as whole sets is verified in buckets of counted size: a set is never one row with its fingerprints
+    sets = met.where("ids is not null").select(F.col("src").alias("sig"), "ids").dropDuplicates(["sig"])
+    members = sets.agg(F.sum(F.size("ids"))).first()[0] or 0
+    buckets = -(-members * (4 * blocks + 16) // bucket_bytes) or 1
+    held = sets.select("sig", F.explode("ids").alias("id")).join(fp_of, "id").select(F.pmod("sig", F.lit(buckets)).alias("bucket"), "sig", "id", "fp")
+    within = held.groupBy("bucket").applyInArrow(lambda group: _verify_sets(group, radius), "src bigint, dst bigint")
+    comp = connected(first.toDF("src", "dst").unionByName(across).unionByName(within))
     rep_group = reps.join(comp, reps["id"] == comp["node"], "left").select("fp", F.coalesce("component", "id").alias("group_id"), (F.col("component").isNotNull() | (F.col("n") > 1)).alias("grouped"))
     return fps.join(rep_group.where("grouped"), "fp").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept")).distinct()

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from postlake.llm import textvec as tv
-from postlake.llm.simhash_dups import BLOCKS, RADIUS_SHARE, WIDTH, connected, families, fingerprints, grouped, near_duplicates
+from postlake.llm.simhash_dups import BLOCKS, RADIUS_SHARE, WIDTH, connected, families, fingerprints, grouped, near, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, group_id string, fp string"
 
@@ -139,3 +139,42 @@ def test_many_copies_and_chains(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 900), (900, 950)], "src long, dst long")
     label = {r.node: r.component for r in connected(chain).collect()}
     assert all(label[i] == 0 for i in range(201)) and label[1000] == label[950] == label[900] == 900
+
+
+def test_large_family_of_near_fingerprints(spark):
+    """A large family doesn't travel once for each variant that it shares with a stranger, and loses no link."""
+    r = np.random.default_rng(2)
+    n, bits = 3000, WIDTH * BLOCKS
+    base = r.integers(0, 2, bits)
+
+    def flipped(x, count, among=np.arange(bits)):
+        y = x.copy()
+        y[r.choice(among, count, replace=False)] ^= 1
+        return y
+
+    rows = [flipped(base, r.integers(1, 21)) for _ in range(n)]
+    # near one member alone, by its block 3; strangers with a block of the family; a crowd of strangers with a block in common
+    for k in (1500, 2200):
+        rows.append(flipped(rows[k], 92, np.setdiff1d(np.arange(bits), np.arange(3 * WIDTH, 4 * WIDTH))))
+    for k in range(3):
+        rows.append(r.integers(0, 2, bits))
+        rows[-1][k * WIDTH : (k + 1) * WIDTH] = base[k * WIDTH : (k + 1) * WIDTH]
+    shared = r.integers(0, 2, WIDTH)
+    for _ in range(40):
+        rows.append(np.concatenate([flipped(shared, 1, np.arange(WIDTH)), r.integers(0, 2, bits - WIDTH)]))
+    rows += [flipped(rows[-1], 55), flipped(rows[-2], 55)]
+    fp = np.packbits(np.array(rows, np.uint8), axis=1, bitorder="little")
+    label = families(fp, RADIUS)
+    assert (label[[n, n + 1]] == 0).all() and (label[n + 2 : n + 45] != 0).all()
+    assert (near(fp[n : n + 2, None], fp[None, :n]) <= RADIUS).sum() < 10
+    sizes = np.bincount(label, minlength=len(fp))
+    want = {(i, int(x)) for i, x in enumerate(label) if sizes[x] > 1}
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(fp)], "doc_id bigint, fp binary")
+    before = shuffled()
+    assert {(x.doc_id, x.group_id) for x in grouped(table).collect()} == want
+    assert shuffled() - before < 2_500 * len(fp)
