@@ -100,11 +100,18 @@ def rekeyed(envelopes: DataFrame) -> DataFrame:
 
 
 def related_folders(envelopes: DataFrame) -> DataFrame:
-    """Folders with their children's keys; those that share parent and path are marked."""
-    f = envelopes.where("record_kind = 'folder'")
-    children = f.where("parent_envelope_key is not null").groupBy(F.col("parent_envelope_key").alias("__parent")).agg(F.array_sort(F.collect_list("envelope_key")).alias("child_envelope_keys"))
-    clash = (F.count("*").over(Window.partitionBy("record_kind", "parent_envelope_key", "folder_path")) > 1) & (F.col("record_kind") == "folder")
-    d = envelopes.withColumn("__clash", clash).join(children, (F.col("envelope_key") == F.col("__parent")) & (F.col("record_kind") == "folder"), "left").drop("__parent")
-    d = d.withColumn("child_envelope_keys", F.coalesce("child_envelope_keys", F.array().cast("array<string>")))
-    d = d.withColumn("provenance_status", F.when(F.col("__clash"), F.concat("provenance_status", F.lit("; folder_path_collision"))).otherwise(F.col("provenance_status")))
-    return d.withColumn("extraction_status", F.when(F.col("__clash"), "failed_folder_path_collision").otherwise(F.col("extraction_status"))).drop("__clash")
+    """Folders with their children's keys; those that share parent and path are marked. Items pass
+    by: a window over all envelopes would hold the items of one parent and path in one task. A folder
+    goes to its own key and its key to its parent's, so the envelopes aren't worked out for a join again."""
+    folder = F.coalesce(F.col("record_kind") == "folder", F.lit(False))
+    clash = F.count("*").over(Window.partitionBy("parent_envelope_key", "folder_path")) > 1
+    f = envelopes.where(folder).withColumn("__clash", clash)
+    f = f.withColumn("provenance_status", F.when(F.col("__clash"), F.concat("provenance_status", F.lit("; folder_path_collision"))).otherwise(F.col("provenance_status")))
+    f = f.withColumn("extraction_status", F.when(F.col("__clash"), "failed_folder_path_collision").otherwise(F.col("extraction_status"))).drop("__clash")
+    row = F.struct(*envelopes.columns)
+    own = F.struct(F.col("envelope_key").alias("key"), row.alias("row"), F.lit(None).cast("string").alias("child"))
+    up = F.struct(F.col("parent_envelope_key").alias("key"), F.when(F.lit(False), row).alias("row"), F.col("envelope_key").alias("child"))
+    sent = f.select(F.explode(F.array(own, up)).alias("s")).select("s.*").where("row is not null or key is not null")
+    met = sent.groupBy("key").agg(F.collect_list("row").alias("rows"), F.array_sort(F.collect_list("child")).alias("child_envelope_keys"))
+    d = met.select(F.explode("rows").alias("r"), "child_envelope_keys").select("r.*", "child_envelope_keys")
+    return d.unionByName(envelopes.where(~folder).withColumn("child_envelope_keys", F.array().cast("array<string>")))
