@@ -7,6 +7,7 @@ import io
 import os
 import tarfile
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -85,21 +86,33 @@ def json_lines(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def _shard_batches(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
+    """Sorted files of whole groups with their shard. Behind an unknown size a group's sum is unknown and nothing closes."""
+    group, used, shard = ..., 0, 0
+    for batch in batches:
+        out = []
+        for g, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            if g != group and not (g != g and group != group):  # one NaN is as good as another
+                group, used, shard = g, 0, 0
+            if used is None or size is None:
+                used = None
+            elif used > 0 and used + size > target:
+                used, shard = size, shard + 1
+            else:
+                used += size
+            out.append(shard)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "shard"])
+
+
 def shards(files: DataFrame, target: int, group: str | None = None) -> DataFrame:
     """W11. files(path, size): adds shard. A shard closes before the file that would take it past
-    ``target``; the running sum restarts there, which no window can say. It is a fold over a group's
-    sizes in path order: group cuts a large run into shares that shard on their own."""
-    key = [F.col(group)] if group else [F.lit(0)]
-    g = files.groupBy(*[k.alias("__g") for k in key]).agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("f"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("shard"), F.array().cast("array<struct<path:string,size:bigint,shard:int>>").alias("out"))
-
-    def step(acc, x):
-        full = (acc["used"] > 0) & (acc["used"] + x["size"] > target)
-        shard = acc["shard"] + F.when(full, 1).otherwise(0)
-        used = F.when(full, x["size"]).otherwise(acc["used"] + x["size"])
-        return F.struct(used.alias("used"), shard.alias("shard"), F.concat(acc["out"], F.array(F.struct(x["path"].alias("path"), x["size"].alias("size"), shard.alias("shard")))).alias("out"))
-
-    out = g.select("__g", F.inline(F.aggregate(F.transform("f", lambda x: F.struct(x["path"].alias("path"), x["size"].cast("bigint").alias("size"))), start, step)["out"]))
+    ``target``; the running sum restarts there, which no window can say. A task goes through the
+    sizes of its groups once, in path order, and holds a batch of them: group cuts a large run into
+    shares that shard on their own."""
+    g = F.col(f"`{group}`") if group else F.lit(0)
+    f = files.select(g.alias("__g"), "path", F.col("size").cast("bigint").alias("size"))
+    f = f.repartition("__g").sortWithinPartitions("__g", "path", "size")
+    out = f.mapInArrow(partial(_shard_batches, target=target), f"__g {f.schema['__g'].dataType.simpleString()}, path string, size bigint, shard int")
     return out.withColumnRenamed("__g", group) if group else out.drop("__g")
 
 
