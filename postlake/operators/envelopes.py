@@ -41,7 +41,8 @@ def class_of(message_class: Column, item_type: Column) -> Column:
 def of_candidates(candidates: DataFrame, owners: DataFrame, messages: DataFrame, archive: str, **policy) -> DataFrame:
     """P19. candidates(node_id number, ordinal); owners of resolved_owners; messages(message_node_id,
     message_class, item_type, extraction_status, ordinal), of which the last of a node counts (J12)."""
-    last = messages.groupBy("message_node_id").agg(F.max_by(F.struct("message_class", "item_type", "extraction_status"), "ordinal").alias("msg"))
+    # shuffled first: the strings are aggregated by sorting, which before the shuffle takes a whole split of the scan
+    last = messages.repartition("message_node_id").groupBy("message_node_id").agg(F.max_by(F.struct("message_class", "item_type", "extraction_status"), "ordinal").alias("msg"))
     node = ids.node_identity(F.col("c.node_id"))
     d = candidates.alias("c").join(owners.alias("o"), F.col("c.node_id") == F.col("o.node_id"), "left").join(last.alias("l"), node == F.col("l.message_node_id"), "left")
     resolved, ambiguous = F.col("o.outcome") == "resolved", F.col("o.outcome") == "ambiguous"
